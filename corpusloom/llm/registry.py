@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, tokens
+from corpusloom.llm import mixing, splitting, tokens
 from corpusloom.session import checkpoint, load
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversize texts of the corpus, and those with a forced cut."""
+    return splitting.found(load(spark, sf_dir, "corpus"), load(spark, sf_dir, "split_limits"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the oversize texts of the corpus."""
+    return splitting.split(load(spark, sf_dir, "corpus"), load(spark, sf_dir, "split_limits"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(load(spark, sf_dir, "documents"), "doc_id")
@@ -28,5 +38,27 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_selection": p7_selection, "p7_report": p7_report}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p6_ids": p6_ids,
+    "p7_selection": p7_selection,
+    "p7_report": p7_report,
+}
+
+P2_FOUND_SQL = r"""
+WITH lim AS (SELECT lower(trim(section)) AS name, max_chars FROM split_limits),
+rows_ AS (
+  SELECT DISTINCT c._id, c.text, coalesce(l.max_chars, (SELECT max_chars FROM lim WHERE name = '*')) AS max_chars
+  FROM corpus c LEFT JOIN lim l ON l.name <> '*' AND l.name = lower(regexp_replace(c.section, '^\s+|\s+$', '', 'g'))),
+big AS (SELECT * FROM rows_ WHERE length(text) > max_chars),
+runs AS (
+  SELECT _id, max_chars, list_max(list_transform(
+    regexp_split_to_array(regexp_replace(text, '([。！？])', '\1 ', 'g'), '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}\x{0b}]+'),
+    lambda x: length(x))) AS run FROM big)
+SELECT DISTINCT _id AS corpus_id, kind FROM (
+  SELECT _id, 'oversize' AS kind FROM big UNION ALL SELECT _id, 'forced' FROM runs WHERE run > max_chars)
+WHERE _id IS NOT NULL
+"""
+
+SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL}
