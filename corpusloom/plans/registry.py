@@ -1,4 +1,8 @@
 """All queries of the core library and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from corpusloom.plans import hierarchy_queries
+
+QUERIES: dict = {**hierarchy_queries.QUERIES}
+SQL: dict[str, str] = {**hierarchy_queries.SQL}
