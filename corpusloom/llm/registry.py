@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, splitting, tokens
+from corpusloom.llm import garbled, mixing, splitting, tokens
 from corpusloom.session import checkpoint, load
 
 
@@ -38,12 +38,24 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a garbled passage."""
+    return garbled.detect(load(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with their text as far as it can be restored."""
+    return garbled.detect(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p6_ids": p6_ids,
     "p7_selection": p7_selection,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 P2_FOUND_SQL = r"""
