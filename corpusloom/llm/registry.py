@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import garbled, mixing, splitting, tokens
+from corpusloom.llm import garbled, mixing, overlap, splitting, tokens
 from corpusloom.session import checkpoint, load
 
 
@@ -18,6 +18,16 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(load(spark, sf_dir, "corpus"), load(spark, sf_dir, "split_limits"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a dev or test record that ask the same question."""
+    return overlap.found(load(spark, sf_dir, "mteb_matches"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and source."""
+    return overlap.report(load(spark, sf_dir, "mteb_matches"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(load(spark, sf_dir, "documents"), "doc_id")
@@ -51,6 +61,8 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p6_ids": p6_ids,
     "p7_selection": p7_selection,
     "p7_report": p7_report,
