@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import garbled, mixing, overlap, splitting, tokens
+from corpusloom.llm import garbled, markup, mixing, overlap, splitting, tokens
 from corpusloom.session import checkpoint, load
 
 
@@ -28,6 +28,16 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(load(spark, sf_dir, "mteb_matches"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with residue of markup."""
+    return markup.found(load(spark, sf_dir, "article_sections"), load(spark, sf_dir, "corpus"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts without markup, and their blocks."""
+    return markup.clean_texts(markup.sources(load(spark, sf_dir, "article_sections"), load(spark, sf_dir, "corpus")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(load(spark, sf_dir, "documents"), "doc_id")
@@ -63,6 +73,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_clean": p5_clean,
     "p6_ids": p6_ids,
     "p7_selection": p7_selection,
     "p7_report": p7_report,
