@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import garbled, markup, mixing, overlap, splitting, tokens
+from corpusloom.llm import boilerplate, garbled, markup, mixing, overlap, splitting, tokens
 from corpusloom.session import checkpoint, load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the articles of all pages, and noise lines of all sections."""
+    pages = load(spark, sf_dir, "nq_source").select("id", F.col("document.html").alias("html"))
+    return boilerplate.found(pages, load(spark, sf_dir, "article_sections"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oversize texts of the corpus, and those with a forced cut."""
     return splitting.found(load(spark, sf_dir, "corpus"), load(spark, sf_dir, "split_limits"))
@@ -69,6 +76,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
