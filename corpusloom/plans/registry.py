@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import hierarchy_queries
+from corpusloom.plans import graph_queries, hierarchy_queries
 
-QUERIES: dict = {**hierarchy_queries.QUERIES}
-SQL: dict[str, str] = {**hierarchy_queries.SQL}
+_MODULES = (hierarchy_queries, graph_queries)
+
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
