@@ -109,7 +109,7 @@ def resolve_questions(questions: DataFrame, sections: DataFrame, pages: DataFram
     from corpusloom.functions.decisions import valid_long_answers
     from corpusloom.operators.ordinal import first_wins
 
-    q = questions.withColumn("article_key", titles.article_key("article_id")).withColumn("answers", valid_long_answers("annotations"))
+    q = questions.select("id", "article_id", "annotations").withColumn("article_key", titles.article_key("article_id")).withColumn("answers", valid_long_answers("annotations"))
     known = sections.select("article_key").distinct().withColumn("has_title", F.lit(True))
     q = q.join(known, "article_key", "left").join(pages.select("article_id", "html").dropDuplicates(["article_id"]), "article_id", "left")
     a = q.where("has_title").select("id", "article_key", "html", F.posexplode("answers").alias("pos", "la")).where("html IS NOT NULL")
