@@ -25,6 +25,8 @@ SAMPLE_DOCS, SENTENCES = 6000, 250
 #: and chains from UTF-8, whose strict decodability is itself strong evidence.
 BUCKETS, LEGACY_ODDS, UTF8_ODDS = 1 << 13, 3.0, -6.0
 MEMO_ENTRIES = 100_000
+#: What a legacy inversion has to gain in the mean log likelihood of a bigram as clean text.
+GAIN = 1.0
 #: Wrong codecs of a text that was garbled again afterwards.
 MORE = (">latin-1", ">cp1252", ">cp1250", ">cp1251", ">mac_roman")
 
@@ -132,6 +134,10 @@ class Model:
             return 0.0
         return float((self.prior[: self.clean] + self.weights[buckets("\n".join(ODD.findall(text))), : self.clean].sum(0, dtype=np.float64)).max())
 
+    def average(self, text: str) -> float:
+        """Log likelihood of a text as clean text per bigram; 0 for ASCII."""
+        return self.likely(text) / max(1, len(buckets("\n".join(ODD.findall(text))))) if not text.isascii() else 0.0
+
     def options(self, text: str, deep: int = 2) -> list[tuple[float, str, str]]:
         """Valid inversions of a sentence, best first: score, chain, original."""
         if text.isascii():
@@ -144,6 +150,8 @@ class Model:
             original = right(text, chain)
             if original is None or "\ufffd" in original:
                 continue
+            if chain[-1][0] != "utf-8" and self.average(original) < self.average(text) + GAIN:
+                continue  # no nearer to clean text than before
             name, score = " ".join(f"{a}>{b}" for a, b in chain), odds + self.likely(original)
             if deep and chain[-1][0] == "utf-8":  # garbled once more: only by way of UTF-8
                 more = [x for x in self.options(original, deep - 1) if x[1].endswith(MORE)]
@@ -195,6 +203,18 @@ def fit(sample: list[tuple[str | None, str]]) -> Model:
                 by[lang or ""].setdefault(key, 0)
                 by[lang or ""][key] += 1
     clean = {lang: Counter({k: n for k, n in keys.items() if not _utf8_like(k)}) for lang, keys in by.items()}
+    # a rare sentence that is a garbled form of a frequent one is not clean either
+    forms: dict[str, int] = {}
+    for keys in clean.values():
+        for k, n in sorted(keys.items(), key=lambda x: (-x[1], x[0]))[:SENTENCES]:
+            for chain in CHAINS:
+                bad = wrong(k, chain) if n >= 5 else None
+                if bad is not None and bad != k:
+                    forms[bad] = max(forms.get(bad, 0), n)
+    for keys in clean.values():
+        for k in list(keys):
+            if keys[k] * 5 <= forms.get(k, 0):
+                del keys[k]
     model = _train(clean)
     for keys in clean.values():
         for k in list(keys):

@@ -226,7 +226,7 @@ _DROPPED = re.compile(r"~?\\(?:cite|ref|label|footnote|vspace|hspace|includegrap
 def plain(line: str) -> str:
     """A line without inline syntax."""
     for _ in range(2):
-        line = html.unescape(line)
+        line = html.unescape(line).replace("\xa0", " ")
     line = re.sub(r"<!--.*?(?:-->|$)|^.*?-->", "", line)
     line = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<sup\b[^<>]*>\s*\[[^\]]*\]\s*</sup>", "", line, flags=re.I)
     line = re.sub(r"<sub\b[^<>]*>(.*?)</sub>", r"_{\1}", line, flags=re.I)

@@ -238,7 +238,6 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
             for r in batch.itertuples():
                 lead = min(halo, r.start)
                 data = _read(r.path, r.start - lead, min(r.size, r.stop + halo))
-                text = data.decode("latin-1")  # one character a byte: offsets are byte offsets
                 at: dict[int, int] = {}
                 for m in re.finditer(rb"[ \t\r\n]+", data):
                     run, (a, b) = m.group(), m.span()
@@ -247,7 +246,6 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
                 for m in re.finditer(rb"\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|[.!?](?=\s)", data):
                     at[m.end()] = max(at.get(m.end(), 0), 2)
                 keys = sorted(p for p in at if lead < p <= lead + r.stop - r.start)
-                del text
                 yield pd.DataFrame({"path": [r.path], "part": [r.part], "size": [r.stop - r.start], "total": [r.size], "at": [[p - lead for p in keys]], "kind": [[at[p] for p in keys]]})
 
     tables = ranges.repartition(max(1, len(spans)), "path", "part").mapInPandas(scan, "path string, part int, size bigint, total bigint, at array<bigint>, kind array<int>")
@@ -262,5 +260,5 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
             pieces = [_read(p, a, b).decode("utf-8", "ignore") for p, a, b in zip(batch["path"], batch["start"], batch["end"])]
             yield batch.assign(piece=pieces)
 
-    flat = cuts.select("path", "piece_no", F.col("cut.0").alias("start"), F.col("cut.1").alias("end"), F.col("cut.2").alias("forced"))
+    flat = cuts.select("path", "piece_no", F.col("cut.starts").alias("start"), F.col("cut.ends").alias("end"), F.col("cut.forced").alias("forced"))
     return flat.mapInPandas(emit, "path string, piece_no int, start bigint, end bigint, forced boolean, piece string")
