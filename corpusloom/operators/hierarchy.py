@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import BROADCAST_BYTES, checkpoint
+from corpusloom.session import BROADCAST_BYTES, checkpoint, counted
 
 #: Links (or edges) that one task may merge; about 200 bytes of a worker's memory each.
 MERGE_ROWS = 1_000_000
+#: Links so few that one task merges them at once, without levels.
+FEW_ROWS = 100_000
 
 LINK = "node string, ptr string, via array<string>"
 TREE = "node string, top string, via array<string>, looped boolean"
@@ -102,8 +104,9 @@ def forest(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     spark = links.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     levels: list[DataFrame] = []
-    todo = checkpoint(links.select("node", "ptr", "via"))
-    rows = todo.count()
+    todo, rows = counted(links.select("node", "ptr", "via"))
+    if rows <= min(FEW_ROWS, most):
+        parts = 1
     while rows:
         if parts == 1 and rows > most:
             levels.append(_double(todo))
@@ -114,9 +117,8 @@ def forest(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
             break
         # the tops that are nodes of this level again: links of the next, smaller one
         tops = merged.where("NOT looped").select(F.col("top").alias("node")).distinct()
-        todo = checkpoint(merged.join(tops, "node", "left_semi").select("node", F.col("top").alias("ptr"), "via", "looped").where("NOT looped").drop("looped"))
         # a top that is already known to loop ends its chain there
-        left = todo.count()
+        todo, left = counted(merged.join(tops, "node", "left_semi").select("node", F.col("top").alias("ptr"), "via", "looped").where("NOT looped").drop("looped"))
         parts = 1 if left <= most // 4 else max(1, parts // 2)
         rows = left
         if not left:
@@ -124,21 +126,21 @@ def forest(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     if not levels:
         return spark.createDataFrame([], TREE)
     known = levels[-1]
+    known_rows = known.count() if len(levels) > 1 else 0
     for level in reversed(levels[:-1]):
-        rows = known.count()
+        rows = known_rows
         up = known.select(F.col("node").alias("u_node"), F.col("top").alias("u_top"), F.col("via").alias("u_via"), F.col("looped").alias("u_looped"))
         loops = level.where("looped").select(F.col("node").alias("l_node"))
         met = level.join(near(up, rows, 2000), F.col("top") == F.col("u_node"), "left")
         met = met.join(loops, F.col("top") == F.col("l_node"), "left")
         looped = F.col("looped") | F.coalesce("u_looped", F.lit(False)) | F.col("l_node").isNotNull()
-        known = checkpoint(
+        known, known_rows = counted(
             met.select(
                 "node", looped.alias("looped"),
                 F.when(~looped, F.coalesce("u_top", "top")).alias("top"),
                 F.when(looped, F.array().cast("array<string>")).when(F.col("u_node").isNull(), F.col("via")).otherwise(F.concat("u_via", F.array("top"), "via")).alias("via"),
             ).select("node", "top", "via", "looped")
         )
-        # nodes below a loop found at a higher level only by way of another looped node
     return known
 
 
@@ -175,20 +177,20 @@ def hierarchy(nodes: DataFrame, links: DataFrame, merge_rows: int | None = None)
         # a top is a true root, or was rooted in an earlier round, or (only a link to itself) leads nowhere
         base = rooted.select(F.col("node").alias("t"), F.col("root"), F.col("path").alias("head"))
         used = base.join(tops.select(F.col("top").alias("t")).distinct(), "t", "left_semi")
-        used = checkpoint(used)
-        fresh = tops.join(near(used, used.count(), 4000), F.col("top") == F.col("t")).select("node", "root", F.concat("head", "via", F.array("node")).alias("path"))
+        used, n_used = counted(used)
+        fresh = tops.join(near(used, n_used, 4000), F.col("top") == F.col("t")).select("node", "root", F.concat("head", "via", F.array("node")).alias("path"))
         rooted = checkpoint(rooted.unionByName(fresh))
         # alternatives of what is left that are under a root now
-        left = checkpoint(nodes.join(rooted, "node", "left_anti"))
-        if not left.limit(1).count():
+        left, n_left = counted(nodes.join(rooted, "node", "left_anti"))
+        if not n_left:
             break
         again = proper.join(left.withColumnRenamed("node", "child"), "child", "left_semi")
-        anchors = checkpoint(
+        anchors, n_anchors = counted(
             again.join(rooted.select(F.col("node").alias("parent")), "parent", "left_semi")
             .groupBy("child").agg(F.min(F.struct("ord", "parent")).alias("first"))
             .select(F.col("child").alias("node"), F.col("first.parent").alias("ptr"), none.alias("via"))
         )
-        if not anchors.limit(1).count():
+        if not n_anchors:
             break
         rest = primary.join(left, "node", "left_semi").join(anchors, "node", "left_anti")
         todo = anchors.unionByName(rest)
@@ -298,12 +300,11 @@ def cycle_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
     """
     most = merge_rows or MERGE_ROWS
     own = links.where("parent = child").select(F.col("child").alias("node"))
-    edges = checkpoint(links.where("parent <> child").select("parent", "child"))
-    rows = edges.count()
+    edges, rows = counted(links.where("parent <> child").select("parent", "child"))
     while rows:
         ins, outs = edges.select(F.col("child").alias("parent")).distinct(), edges.select(F.col("parent").alias("child")).distinct()
-        edges = checkpoint(edges.join(ins, "parent", "left_semi").join(outs, "child", "left_semi"))
-        before, rows = rows, edges.count()
+        before = rows
+        edges, rows = counted(edges.join(ins, "parent", "left_semi").join(outs, "child", "left_semi"))
         if rows <= most // 10 or rows > 0.9 * before:
             break
     if not rows:
@@ -327,8 +328,8 @@ def bad_paths(categories: DataFrame, links: DataFrame, path: str = "path", name:
     wrong = wrong.union(starts.join(with_parent, "child", "left_semi").select("node"))
     pairs = good.where(F.size("steps") > 1).select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size("steps") - 1), lambda i: F.struct(F.element_at("steps", i).alias("parent"), F.element_at("steps", i + 1).alias("child")))).alias("s")).select("node", "s.*")
     # distinct pairs first: a link near the root is on very many paths
-    missing = checkpoint(pairs.select("parent", "child").distinct().join(links.select("parent", "child"), ["parent", "child"], "left_anti"))
-    broken = pairs.join(near(missing, missing.count()), ["parent", "child"], "left_semi").select("node")
+    missing, n_missing = counted(pairs.select("parent", "child").distinct().join(links.select("parent", "child"), ["parent", "child"], "left_anti"))
+    broken = pairs.join(near(missing, n_missing), ["parent", "child"], "left_semi").select("node")
     return wrong.union(broken).distinct()
 
 

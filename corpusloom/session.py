@@ -26,6 +26,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df`` and its number of rows, from one job."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
