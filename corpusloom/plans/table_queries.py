@@ -202,11 +202,10 @@ def variant_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, ids in (("title_match", _matches(spark, sf_dir).select("id").distinct()), ("accepted", _true_ids(spark, sf_dir))):
         v = _variant(spark, sf_dir, ids)
         positives = v["qrels"].select(F.col("corpus-id").alias("_id")).distinct()
-        counted = (
-            v["queries"].agg(F.count_distinct("_id").alias("queries")).crossJoin(v["qrels"].agg(F.count("*").alias("qrels"))).crossJoin(positives.agg(F.count("*").alias("positives")))
-            .crossJoin(positives.join(v["corpus"].select("_id").distinct(), "_id", "left_anti").agg(F.count("*").alias("missing")))
-        )  # fmt: skip  one row each
-        out.append(counted.select(F.lit(name).alias("variant"), "*"))
+        missing = positives.join(v["corpus"].select("_id").distinct(), "_id", "left_anti")
+        parts = {"queries": v["queries"].select(F.col("_id").alias("k")).distinct(), "qrels": v["qrels"].select(F.col("query-id").alias("k")), "positives": positives, "missing": missing}
+        figures = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("figure"), "n") for k, df in parts.items()])
+        out.append(figures.agg(*[F.max(F.when(F.col("figure") == k, F.col("n"))).alias(k) for k in parts]).select(F.lit(name).alias("variant"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 
