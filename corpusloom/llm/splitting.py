@@ -149,16 +149,16 @@ def with_limits(df: DataFrame, limits: DataFrame, section: str = "section") -> D
         limits.where("section IS NOT NULL AND max_chars > 0").select(name(F.col("section")).alias("__name"), "max_chars", "overlap_chars")
         .groupBy("__name").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("__own"))
     )
-    rest = small.where("__name = '*'").select(F.col("__own").alias("__rest"))
+    rest = small.where("__name = '*'").select(F.col("__name").alias("__star"), F.col("__own").alias("__rest"))
     # one row a section name that has a limit: a table of settings
     both = (
-        df.drop("max_chars", "overlap_chars").withColumn("__name", name(F.col(section)))
-        .join(F.broadcast(small.where("__name <> '*'")), "__name", "left").join(F.broadcast(rest), F.lit(True), "left")
+        df.drop("max_chars", "overlap_chars").withColumn("__name", name(F.col(section))).withColumn("__star", F.lit("*"))
+        .join(F.broadcast(small.where("__name <> '*'")), "__name", "left").join(F.broadcast(rest), "__star", "left")
     )
     own = F.coalesce("__own", "__rest")
     return both.withColumns(
         {"max_chars": own["max_chars"], "overlap_chars": F.greatest(F.lit(0), F.coalesce(own["overlap_chars"], F.lit(0)))}
-    ).drop("__name", "__own", "__rest")
+    ).drop("__name", "__star", "__own", "__rest")
 
 
 def cut_plans(df: DataFrame, limits: DataFrame, key: str = "_id", text: str = "text", section: str = "section") -> DataFrame:
