@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.hierarchy import near
-from corpusloom.session import checkpoint, counted
+from corpusloom.session import checkpoint, sized
 
 
 def bfs(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -20,14 +20,15 @@ def bfs(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     (ord, parent), among the parents of the level before. Loops end by themselves; null ends are left out.
     """
     links = checkpoint(links.where("parent IS NOT NULL AND child IS NOT NULL").groupBy("parent", "child").agg(F.min("ord").alias("ord")))
-    seen, count = counted(seeds.where("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("first_parent"), F.array("node").alias("path")))
+    first = seeds.where("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("first_parent"), F.array("node").alias("path"))
+    seen, count, size = sized(first, ["node", "path"])
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = links.join(near(frontier.select(F.col("node").alias("parent"), "path"), count, 2000), "parent")
+        step = links.join(near(frontier.select(F.col("node").alias("parent"), "path"), count, size), "parent")
         fresh = step.join(seen.select(F.col("node").alias("child")), "child", "left_anti")
-        frontier, count = counted(
+        frontier, count, size = sized(
             fresh.groupBy("child").agg(F.min(F.struct("ord", "parent", "path")).alias("first"))
-            .select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.col("first.parent").alias("first_parent"), F.concat("first.path", F.array("child")).alias("path"))
+            .select(F.col("child").alias("node"), F.lit(depth).alias("depth"), F.col("first.parent").alias("first_parent"), F.concat("first.path", F.array("child")).alias("path")), ["node", "path"]
         )
         if not count:
             break
@@ -50,11 +51,11 @@ def gated_reachability(links: DataFrame, root: DataFrame, decisions: DataFrame)
     links = links.where("parent IS NOT NULL AND child IS NOT NULL").select("parent", "child").distinct()
     opening = checkpoint(decisions.where("expand_descendants AND label <> 'drop'").select("node"))
     gates = checkpoint(links.join(opening.withColumnRenamed("node", "parent"), "parent", "left_semi"))
-    reached, count = counted(root.select("node").distinct())
+    reached, count, size = sized(root.select("node").distinct(), ["node"])
     frontier = reached
     while count:
-        step = gates.join(near(frontier.withColumnRenamed("node", "parent"), count), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        frontier, count = counted(step.join(reached, "node", "left_anti"))
+        step = gates.join(near(frontier.withColumnRenamed("node", "parent"), count, size), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        frontier, count, size = sized(step.join(reached, "node", "left_anti"), ["node"])
         if count:
             reached = checkpoint(reached.union(frontier))
     nodes = links.select(F.col("parent").alias("node")).union(links.select("child")).union(decisions.select("node")).union(root.select("node")).distinct()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import BROADCAST_BYTES, checkpoint, counted
+from corpusloom.session import BROADCAST_BYTES, checkpoint, counted, sized
 
 #: Links (or edges) that one task may merge; about 200 bytes of a worker's memory each.
 MERGE_ROWS = 1_000_000
@@ -38,9 +38,13 @@ def title(c: Column | str) -> Column:
     return F.nullif(F.translate(plain, " ", "_"), F.lit(""))
 
 
-def near(df: DataFrame, rows: int, row_bytes: int = 200) -> DataFrame:
-    """``df`` as a broadcast side if its counted rows are sure to be small, else as it is (AQE splits hot keys)."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+#: Bytes of a row in a broadcast besides its strings.
+ROW_BYTES = 100
+
+
+def near(df: DataFrame, rows: int, strings: int) -> DataFrame:
+    """``df`` as a broadcast side if its counted rows and the bytes of their strings are small, else as it is (AQE splits hot keys)."""
+    return F.broadcast(df) if rows * ROW_BYTES + strings <= BROADCAST_BYTES else df
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,21 +129,21 @@ def forest(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
             break
     if not levels:
         return spark.createDataFrame([], TREE)
-    known = levels[-1]
-    known_rows = known.count() if len(levels) > 1 else 0
+    known, rows, size = levels[-1], 0, 0
+    if len(levels) > 1:
+        known, rows, size = sized(known, ["node", "top", "via"])
     for level in reversed(levels[:-1]):
-        rows = known_rows
         up = known.select(F.col("node").alias("u_node"), F.col("top").alias("u_top"), F.col("via").alias("u_via"), F.col("looped").alias("u_looped"))
         loops = level.where("looped").select(F.col("node").alias("l_node"))
-        met = level.join(near(up, rows, 2000), F.col("top") == F.col("u_node"), "left")
+        met = level.join(near(up, rows, size), F.col("top") == F.col("u_node"), "left")
         met = met.join(loops, F.col("top") == F.col("l_node"), "left")
         looped = F.col("looped") | F.coalesce("u_looped", F.lit(False)) | F.col("l_node").isNotNull()
-        known, known_rows = counted(
+        known, rows, size = sized(
             met.select(
                 "node", looped.alias("looped"),
                 F.when(~looped, F.coalesce("u_top", "top")).alias("top"),
                 F.when(looped, F.array().cast("array<string>")).when(F.col("u_node").isNull(), F.col("via")).otherwise(F.concat("u_via", F.array("top"), "via")).alias("via"),
-            ).select("node", "top", "via", "looped")
+            ).select("node", "top", "via", "looped"), ["node", "top", "via"]
         )
     return known
 
@@ -177,8 +181,8 @@ def hierarchy(nodes: DataFrame, links: DataFrame, merge_rows: int | None = None)
         # a top is a true root, or was rooted in an earlier round, or (only a link to itself) leads nowhere
         base = rooted.select(F.col("node").alias("t"), F.col("root"), F.col("path").alias("head"))
         used = base.join(tops.select(F.col("top").alias("t")).distinct(), "t", "left_semi")
-        used, n_used = counted(used)
-        fresh = tops.join(near(used, n_used, 4000), F.col("top") == F.col("t")).select("node", "root", F.concat("head", "via", F.array("node")).alias("path"))
+        used, n_used, used_size = sized(used, ["t", "root", "head"])
+        fresh = tops.join(near(used, n_used, used_size), F.col("top") == F.col("t")).select("node", "root", F.concat("head", "via", F.array("node")).alias("path"))
         rooted = checkpoint(rooted.unionByName(fresh))
         # alternatives of what is left that are under a root now
         left, n_left = counted(nodes.join(rooted, "node", "left_anti"))
@@ -328,8 +332,8 @@ def bad_paths(categories: DataFrame, links: DataFrame, path: str = "path", name:
     wrong = wrong.union(starts.join(with_parent, "child", "left_semi").select("node"))
     pairs = good.where(F.size("steps") > 1).select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size("steps") - 1), lambda i: F.struct(F.element_at("steps", i).alias("parent"), F.element_at("steps", i + 1).alias("child")))).alias("s")).select("node", "s.*")
     # distinct pairs first: a link near the root is on very many paths
-    missing, n_missing = counted(pairs.select("parent", "child").distinct().join(links.select("parent", "child"), ["parent", "child"], "left_anti"))
-    broken = pairs.join(near(missing, n_missing), ["parent", "child"], "left_semi").select("node")
+    missing, n_missing, missing_size = sized(pairs.select("parent", "child").distinct().join(links.select("parent", "child"), ["parent", "child"], "left_anti"), ["parent", "child"])
+    broken = pairs.join(near(missing, n_missing, missing_size), ["parent", "child"], "left_semi").select("node")
     return wrong.union(broken).distinct()
 
 

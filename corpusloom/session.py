@@ -28,12 +28,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """A checkpoint of ``df`` and its number of rows, from one job."""
+    out, rows, _ = sized(df, [])
+    return out, rows
+
+
+def sized(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int]:
+    """A checkpoint of ``df``, its rows, and the bytes of its string and string-array ``columns``, from one job."""
     from pyspark.sql import Observation
     from pyspark.sql import functions as F
 
     seen = Observation()
-    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, int(seen.get["n"])
+    size = sum((F.coalesce(F.octet_length(F.concat_ws(",", c)), F.lit(0)) for c in columns), F.lit(0))
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")))
+    return out, int(seen.get["n"]), int(seen.get["b"])
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
