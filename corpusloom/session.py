@@ -43,8 +43,34 @@ def sized(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int]:
     return out, int(seen.get["n"]), int(seen.get["b"])
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers of all executors, once a session.
+
+    A worker only finds what lies on its own path; the driver may have the package from elsewhere.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-ship-"), "corpusloom_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("corpusloom", os.path.relpath(full, package)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
