@@ -36,8 +36,17 @@ BAD_INTRO = (
     r"\b(?:the\s+)?(?:equation|formula|expression|reaction|relationship|relation|law)\s+(?:is|are|becomes|can be written|can be expressed)\s*$|"
     r"\b(?:as follows|it reads)\s*$)"
 )
+# The notes in brackets that clean text leaves out, and the spacing around signs.
 _NOTES = r"\[\s*(?:\d+(?:\s*[,-]\s*\d+)*|note\s+\d+|citation needed|clarification needed|dead link|failed verification)\s*\]"
 
+_SPACING = [
+    (r"(?U)\s+([,.;:!?%)\]])", "$1"), (r"(?U)([(\[])\s+", "$1"), (r"(?U)\s+([_^]\{)", "$1"),
+    (r"(?U)([_^]\{)\s+", "$1"), (r"(?U)\s+\}", "}"),
+]
+# Remarks of editors and tag remnants that an answer's text leaves out.
+_REMARKS = r"(?iU)\[\s*(?:citation needed|clarification needed|page needed|dead link|failed verification|not specific enough to verify|unreliable source)\s*\]"
+_REMNANTS = r"\bmw-[a-z]|edit\s*\]|edit\b|\bster\b|\bsect\b"
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -58,10 +67,7 @@ def unescape(c: Column | str) -> Column:
 def tidy_spaces(c: Column | str) -> Column:
     """No space before closing or after opening signs, and around braces of ``_{}`` and ``^{}``."""
     out = _c(c)
-    for a, b in (
-        (r"(?U)\s+([,.;:!?%)\]])", "$1"), (r"(?U)([(\[])\s+", "$1"), (r"(?U)\s+([_^]\{)", "$1"),
-        (r"(?U)([_^]\{)\s+", "$1"), (r"(?U)\s+\}", "}"),
-    ):
+    for a, b in _SPACING:
         out = F.regexp_replace(out, a, b)
     return out
 
@@ -139,7 +145,7 @@ def answer_text(fragment: Column | str) -> Column:
     out = F.regexp_replace(out, r'(?i)<img[^>]*?alt="\{\\displaystyle\s*([^"]*)\}"[^>]*>', " $1 ")
     out = F.regexp_replace(out, r'(?i)<img[^>]*?alt="([^"]*)"[^>]*>', " $1 ")
     out = unescape(squeeze(F.regexp_replace(out, "<[^>]+>", " ")))
-    out = F.regexp_replace(out, r"(?iU)\[\s*(?:citation needed|clarification needed|page needed|dead link|failed verification|not specific enough to verify|unreliable source)\s*\]", " ")
-    out = squeeze(F.regexp_replace(out, r"\bmw-[a-z]|edit\s*\]|edit\b|\bster\b|\bsect\b", " "))
+    out = F.regexp_replace(out, _REMARKS, " ")
+    out = squeeze(F.regexp_replace(out, _REMNANTS, " "))
     table = c.rlike(r"(?i)<\s*(?:table|tbody|thead|tr)\b")
     return F.when(~table & (F.char_length(out) >= 45) & ~is_bad_intro(out), out)
