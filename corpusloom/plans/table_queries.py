@@ -249,6 +249,11 @@ def clean_text_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", X.clean_text("text", entities=False).alias("clean"))
 
 
+def clean_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cleaned, with entities decoded (C11); ``clean_text_ascii`` is its part that SQL can follow."""
+    return load(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("clean"))
+
+
 def enclosing_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section around the middle of each page."""
     rows = load(spark, sf_dir, "nq_source").where("id IS NOT NULL").select("id", F.col("document.html").alias("html")).where("html IS NOT NULL").distinct()
@@ -402,7 +407,7 @@ QUERIES = {f.__name__: f for f in (
     wiki_url_encode, page_url_params, safe_part_keys, clamp_and_normalize_label, json_props, usage_totals, title_semi_join, topic_latest_decision,
     topic_ever_decided, pending_anti_join, missing_decisions, decision_inner_join, first_wins_by_key, section_key_lookup, latest_snapshot, dedup_with_existing,
     dense_query_ids, block_index, answer_filter, qrel_title_match, split_fraction, qrels_histogram, broad_corpus_flags, variant_build, id_set_verification,
-    split_union, containment_match, bad_intro_filter, clean_text_ascii, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
+    split_union, containment_match, bad_intro_filter, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
     sorted_exports, retrieval_topk, ranking_metrics, ranking_summary, leaderboard_rank, family_mean_std, task_correlation, ablation_gain, jsonl_roundtrip,
     mysqldump_scan, incremental_resume,
 )}
