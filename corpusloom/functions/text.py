@@ -119,7 +119,7 @@ def is_bad_path(path: Column | str) -> Column:
 
 def is_bad_intro(c: Column | str) -> Column:
     """Whether a text ends in a clause that announces a formula; false for null."""
-    return F.coalesce(F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "").rlike(BAD_INTRO), F.lit(False))
+    return F.coalesce(F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "").rlike("(?U)" + BAD_INTRO), F.lit(False))
 
 
 def bytes_slice(html: Column | str, start: Column, end: Column) -> Column:

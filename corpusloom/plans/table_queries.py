@@ -238,11 +238,17 @@ def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_intro_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that break off, made from the first words of the corpus texts."""
+    """Texts that break off, made from the first words of the corpus texts (C16, D7); ``bad_intro_texts`` judges the texts."""
     rows = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND _id IS NOT NULL").select("_id", F.regexp_extract("text", r"^((?:[^ ]+ ){0,8}[^ ]*)", 1).alias("start"), F.regexp_extract("text", r"^((?:[^ ]+ ){0,4}[^ ]*)", 1).alias("shorter")).distinct()
     return rows.select("_id", "start", X.is_bad_intro("start").alias("bad"), X.is_bad_intro("shorter").alias("bad_shorter"))
 
 
+def bad_intro_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each corpus text breaks off at its end and is removed (C16, D7); null texts stay."""
+    rows = load(spark, sf_dir, "corpus").select("_id", "text").distinct()
+    return rows.select("_id", X.is_bad_intro("text").alias("bad"))
+
+
 def clean_text_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned ASCII documents (C11); SQL engines agree on classes of ASCII only."""
     rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x09\x0a\x0d\x20-\x7e]*$") & ~F.contains("text", F.lit("&")))
@@ -407,7 +413,7 @@ QUERIES = {f.__name__: f for f in (
     wiki_url_encode, page_url_params, safe_part_keys, clamp_and_normalize_label, json_props, usage_totals, title_semi_join, topic_latest_decision,
     topic_ever_decided, pending_anti_join, missing_decisions, decision_inner_join, first_wins_by_key, section_key_lookup, latest_snapshot, dedup_with_existing,
     dense_query_ids, block_index, answer_filter, qrel_title_match, split_fraction, qrels_histogram, broad_corpus_flags, variant_build, id_set_verification,
-    split_union, containment_match, bad_intro_filter, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
+    split_union, containment_match, bad_intro_filter, bad_intro_texts, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
     sorted_exports, retrieval_topk, ranking_metrics, ranking_summary, leaderboard_rank, family_mean_std, task_correlation, ablation_gain, jsonl_roundtrip,
     mysqldump_scan, incremental_resume,
 )}

@@ -29,3 +29,12 @@ def test_every_document_is_cleaned(spark, tmp_path):
     table(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.clean for r in Q.clean_text_all(spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else clean(t) for i, t in enumerate(texts)}
+
+
+def test_bad_intro_is_judged_at_the_end_of_a_text(spark, tmp_path):
+    long = "The law of mass action relates the rates of a reaction to its concentrations and "
+    texts = [long + "is given by ", long + "it reads", "one two three four five six seven eight is nine ten", long + "holds", "is\u3000given\u3000by", "caféis", "", None]
+    table(spark, tmp_path, "corpus", [(f"d{i}", "t", t) for i, t in enumerate(texts)] + [("d0", "t", texts[0])], "_id string, title string, text string")
+    rows = Q.bad_intro_texts(spark, str(tmp_path)).collect()
+    assert sorted(r["_id"] for r in rows) == [f"d{i}" for i in range(len(texts))]
+    assert {r["_id"] for r in rows if r.bad} == {"d0", "d1", "d4"}
