@@ -230,13 +230,22 @@ def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections whose beginning is contained in exactly one corpus text of the same title."""
+    """Sections whose beginning is contained in exactly one corpus text of the same title (E16, C13); ``containment_texts`` takes whole texts."""
     rows = load(spark, sf_dir, "article_sections").where("text IS NOT NULL AND title IS NOT NULL").select("id", "title", "text").distinct()
     answers = rows.groupBy("id", "title").agg(F.min("text").alias("text")).select(F.col("id").alias("answer_id"), "title", X.match_key(F.left("text", F.lit(80)), entities=False).alias("answer_key"))
     docs = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND title IS NOT NULL").select(F.col("_id").alias("doc_id"), "title", X.match_key("text", entities=False).alias("doc_key")).distinct()
     return curate.containment(answers, docs, "title")
 
 
+def containment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose whole text is contained in exactly one corpus text of the same title."""
+    rows = load(spark, sf_dir, "article_sections").where("text IS NOT NULL AND title IS NOT NULL").select("id", "title", "text").distinct()
+    # different texts of one id are looked for on their own
+    answers = rows.select(F.struct("id", "title", F.sha2("text", 256)).alias("answer_id"), "title", X.match_key("text").alias("answer_key"))
+    docs = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND title IS NOT NULL").select(F.col("_id").alias("doc_id"), "title", X.match_key("text").alias("doc_key")).distinct()
+    return curate.containment(answers, docs, "title").select(F.col("answer_id.id").alias("answer_id"), "answer_id.title", "doc_id").distinct()
+
+
 def bad_intro_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that break off, made from the first words of the corpus texts (C16, D7); ``bad_intro_texts`` judges the texts."""
     rows = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND _id IS NOT NULL").select("_id", F.regexp_extract("text", r"^((?:[^ ]+ ){0,8}[^ ]*)", 1).alias("start"), F.regexp_extract("text", r"^((?:[^ ]+ ){0,4}[^ ]*)", 1).alias("shorter")).distinct()
@@ -413,7 +422,7 @@ QUERIES = {f.__name__: f for f in (
     wiki_url_encode, page_url_params, safe_part_keys, clamp_and_normalize_label, json_props, usage_totals, title_semi_join, topic_latest_decision,
     topic_ever_decided, pending_anti_join, missing_decisions, decision_inner_join, first_wins_by_key, section_key_lookup, latest_snapshot, dedup_with_existing,
     dense_query_ids, block_index, answer_filter, qrel_title_match, split_fraction, qrels_histogram, broad_corpus_flags, variant_build, id_set_verification,
-    split_union, containment_match, bad_intro_filter, bad_intro_texts, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
+    split_union, containment_match, containment_texts, bad_intro_filter, bad_intro_texts, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
     sorted_exports, retrieval_topk, ranking_metrics, ranking_summary, leaderboard_rank, family_mean_std, task_correlation, ablation_gain, jsonl_roundtrip,
     mysqldump_scan, incremental_resume,
 )}

@@ -38,3 +38,16 @@ def test_bad_intro_is_judged_at_the_end_of_a_text(spark, tmp_path):
     rows = Q.bad_intro_texts(spark, str(tmp_path)).collect()
     assert sorted(r["_id"] for r in rows) == [f"d{i}" for i in range(len(texts))]
     assert {r["_id"] for r in rows if r.bad} == {"d0", "d1", "d4"}
+
+
+def test_containment_of_whole_texts(spark, tmp_path):
+    head = "this beginning of a section is shared by several texts and is longer than eighty characters, "
+    sections = [
+        ("differs", "t", head + "but it ends on its own"), ("one", "t", head + "and it ends so"), ("two", "u", head), ("entity", "t", head + "caf&eacute; &amp; more"),
+        ("several", "t", head + "and it ends so"), ("several", "t", head + "its second text"), ("short", "t", "and it ends so"), (None, "t", None),
+    ]
+    docs = [("d1", "t", "x " + head + "and it ends so, y"), ("d2", "t", head + "café & more"), ("d3", "t", head + "its second text"), ("d4", "u", head), ("d5", "u", head + "z"), ("d6", None, head)]
+    table(spark, tmp_path, "article_sections", sections, "id string, title string, text string")
+    table(spark, tmp_path, "corpus", docs, "_id string, title string, text string")
+    got = [(r.answer_id, r.title, r.doc_id) for r in Q.containment_texts(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("entity", "t", "d2"), ("one", "t", "d1"), ("several", "t", "d1"), ("several", "t", "d3")]
