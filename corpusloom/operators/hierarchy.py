@@ -16,15 +16,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import BROADCAST_BYTES, checkpoint, counted, sized
+from corpusloom.session import BROADCAST_BYTES, checkpoint, counted, sized, total_cores
 
 #: Links (or edges) that one task may merge; about 200 bytes of a worker's memory each.
 MERGE_ROWS = 1_000_000
 #: Links so few that one task merges them at once, without levels.
 FEW_ROWS = 100_000
+#: Links so few that one task lists what is below all nodes.
+SMALL_ROWS = 1_000
 
 LINK = "node string, ptr string, via array<string>"
 TREE = "node string, top string, via array<string>, looped boolean"
@@ -203,11 +206,93 @@ def hierarchy(nodes: DataFrame, links: DataFrame, merge_rows: int | None = None)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """``node, descendant, distance``: all nodes below each node in the hierarchy, one row each (a row a path entry)."""
+    """``node, descendant, distance``: the nodes below each node on primary paths, one row each (a row a path entry); ``closure`` follows all links."""
     steps = tree.where("path IS NOT NULL").select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("at", "node"))
     return steps.where("at < depth").select("node", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def _below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All nodes below the sources of one task; rows without a child are its sources, the others all links."""
+    links: set[tuple[str, str]] = set()
+    sources: list[str] = []
+    for batch in batches:
+        for parent, child in zip(batch.column("parent").to_pylist(), batch.column("child").to_pylist()):
+            if child is None:
+                sources.append(parent)
+            else:
+                links.add((parent, child))
+    code: dict[str, int] = {}
+    down: list[list[int]] = []
+    for a, b in links:
+        for x in (a, b):
+            if x not in code:
+                code[x] = len(down)
+                down.append([])
+        down[code[a]].append(code[b])
+    links.clear()
+    names = pa.array(list(code), pa.string())
+    seen = [-1] * len(down)
+    tops, reached, far = [], [], []
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.take(pa.array(tops, pa.int64())), names.take(pa.array(reached, pa.int64())), pa.array(far, pa.int32())], names=["node", "descendant", "distance"])
+
+    for source in sources:
+        start = code[source]
+        level, distance = [start], 0
+        while level:
+            distance += 1
+            following = []
+            for v in level:
+                for w in down[v]:
+                    if seen[w] != start:
+                        seen[w] = start
+                        following.append(w)
+            tops += [start] * len(following)
+            reached += following
+            far += [distance] * len(following)
+            level = following
+            if len(tops) >= 50_000:
+                yield rows()
+                tops, reached, far = [], [], []
+    if tops:
+        yield rows()
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """The closure in semi-naive rounds of joins: each round follows only the pairs that the last one found."""
+    ahead = edges.select(F.col("parent").alias("descendant"), F.col("child").alias("following"))
+    reached = frontier = checkpoint(edges.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")))
+    done = 0
+    while True:
+        step = frontier.join(ahead, "descendant").select("node", F.col("following").alias("descendant"), (F.col("distance") + 1).alias("distance")).distinct()
+        frontier, rows = counted(step.join(reached, ["node", "descendant"], "left_anti"))
+        if not rows:
+            return reached
+        reached = reached.unionByName(frontier)
+        done += 1
+        if done % 10 == 0:  # the plan must not grow with the depth
+            reached = checkpoint(reached)
+
+
+def closure(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
+    """``node, descendant, distance``: all nodes that links lead to from each node, with the fewest links between, one row each.
+
+    All links count, not only primary ones, so a child of several parents is below each of them. A node on a closed
+    chain is below itself, at the length of its shortest one. The sources are dealt over tasks that each hold all
+    links, up to ``MERGE_ROWS`` of them; beyond, rounds of joins do the same.
+    """
+    edges, rows = counted(links.select("parent", "child").distinct())
+    if rows > (merge_rows or MERGE_ROWS):
+        return _rounds(edges)
+    tasks = total_cores(links.sparkSession) * 2 if rows > SMALL_ROWS else 1
+    part = F.sequence(F.lit(0), F.lit(tasks - 1))
+    # by hash, so that the sources with many descendants spread over the tasks
+    sources = edges.select("parent").distinct().select(F.pmod(F.xxhash64("parent"), F.lit(tasks)).cast("int").alias("part"), "parent", F.lit(None).cast("string").alias("child"))
+    dealt = edges.select(F.explode(part).alias("part"), "parent", "child").unionByName(sources)
+    return dealt.repartitionByRange(tasks, "part").select("parent", "child").mapInArrow(_below, "node string, descendant string, distance int")
+
+
 def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Nodes on closed chains among the edges of one task."""
     frames = [b for b in batches if len(b)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import hierarchy
-from corpusloom.session import checkpoint, load
+from corpusloom.session import load
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -19,17 +19,17 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root, depth and path of every category, and the number of its descendants."""
-    tree = checkpoint(hierarchy.hierarchy(*_graph(spark, sf_dir)))
-    below = hierarchy.descendants(tree).groupBy("node").agg(F.count("*").alias("n_descendants"))
-    return tree.join(below, "node", "left").select(
-        F.col("node").alias("category_title"), "root", "depth", "path", F.when(F.col("path").isNotNull(), F.coalesce("n_descendants", F.lit(0))).alias("n_descendants")
+    """Root, depth and primary path of every category, and the number of its descendants over all links."""
+    nodes, links = _graph(spark, sf_dir)
+    below = hierarchy.closure(links).groupBy("node").agg(F.count("*").alias("n_descendants"))
+    return hierarchy.hierarchy(nodes, links).join(below, "node", "left").select(
+        F.col("node").alias("category_title"), "root", "depth", "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
     )
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of every category in the hierarchy."""
-    return hierarchy.descendants(hierarchy.hierarchy(*_graph(spark, sf_dir)))
+    """All descendants of every category over all links, with the fewest links between."""
+    return hierarchy.closure(_graph(spark, sf_dir)[1])
 
 
 QUERIES = {"p3_found": p3_found, "p3_hierarchy": p3_hierarchy, "p3_descendants": p3_descendants}
