@@ -25,6 +25,11 @@ from corpusloom.session import BROADCAST_BYTES, checkpoint
 
 #: A masked text is furniture if it was seen this often and lay outside the body in this share of cases.
 SEEN, OUTSIDE = 5, 0.93
+#: What a phrase of page furniture adds to that share, and takes from the weight of a path that has it in all units.
+CUE_WEIGHT = 0.4
+#: A line of a section is noise without the lexicon if the share of it that is phrases, and ``CUE_WEIGHT`` where it
+#: does not end as a sentence, come to this.
+COVERED = 0.7
 #: A nested block is a part of the body only with this share of its text.
 SHARE = 0.3
 
@@ -47,7 +52,8 @@ SENTENCE_END = re.compile(r"[.!?:;。！？…][\"”’)\]]*$")
 DIGITS = re.compile(r"\d+")
 NAMES = re.compile(r"\b[A-ZÀ-ÞΑ-ΩА-Я][\w’'-]{5,}")
 
-# Phrases of page furniture in the languages of the pages. They back up the learnt lexicon.
+# Phrases of page furniture in the languages of the pages. They are one weighted feature of paths and of
+# the learnt lexicon; no unit of a page is left out for a phrase alone.
 CUES = re.compile(
     r"\bcookies? (?:to|are|on|policy|settings|notice)\b|\b(?:our|use|accept|all) cookies\b|^privacy policy$|privacy matters|^terms of (?:use|service)$|^(?:imprint|impressum|datenschutz|confidentialité)$"
     r"|©\s*\d{4}|\ball rights reserved\.?$|alle rechte vorbehalten|tous droits réservés|mentions légales|nutzungsbedingungen"
@@ -77,9 +83,7 @@ _known: dict[str, bool] = {}
 
 
 def furniture(text: str) -> bool:
-    """Whether a text has a phrase of page furniture; long texts are left to the lexicon."""
-    if len(text) > 240:
-        return False
+    """Whether a text has a phrase of page furniture."""
     low = text.lower()
     for k in KEYS:
         if k in low:
@@ -95,6 +99,13 @@ def furniture(text: str) -> bool:
     return found
 
 
+def phrased(text: str) -> float:
+    """Share of a line that phrases of page furniture make up, and more if it does not end as a sentence; 0 without a phrase."""
+    if not furniture(text):
+        return 0.0
+    return sum(m.end() - m.start() for m in CUES.finditer(text)) / len(text) + (0 if SENTENCE_END.search(text) else CUE_WEIGHT)
+
+
 def mask(text: str) -> str:
     """A text with its numbers and, in longer ones, its names left out."""
     out = DIGITS.sub("0", text)
@@ -241,6 +252,11 @@ class Page:
 
 def body(source: str | None) -> list[tuple[str, bool]]:
     """``(text, in the body)`` of every unit of a page; none for null and empty pages."""
+    return [(text, keep) for text, keep, _ in judged(source)]
+
+
+def judged(source: str | None) -> list[tuple[str, bool, bool]]:
+    """``(text, in the body, has a phrase of page furniture)`` of every unit of a page."""
     if not source:
         return []
     page = Page(source)
@@ -248,7 +264,7 @@ def body(source: str | None) -> list[tuple[str, bool]]:
     if not units:
         return []
     paths: dict[int, str] = {}
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
     cue = [furniture(u.text) for u in units]
     for u, c in zip(units, cue):
         if u.node not in paths:
@@ -256,9 +272,9 @@ def body(source: str | None) -> list[tuple[str, bool]]:
         u.path = paths[u.node]
         s = sums[u.path]
         s[0] += 1
-        if not c:
-            s[1] += len(u.text) - u.linked
-            s[2] += len(PUNCTUATION.findall(u.text))
+        s[1] += len(u.text) - u.linked
+        s[2] += len(PUNCTUATION.findall(u.text))
+        s[4] += c
         s[3] += u.linked > 0.7 * len(u.text)
     # ratios by path, smoothed over the units of the page, and fused
     length = [sums[u.path][1] / sums[u.path][0] for u in units]
@@ -267,6 +283,7 @@ def body(source: str | None) -> list[tuple[str, bool]]:
     for i, u in enumerate(units):
         a, b = max(0, i - 1), min(len(units) - 1, i + 1)
         u.weight = ((kernel[0] * length[a] + kernel[1] * length[i] + kernel[2] * length[b]) * (1 + kernel[0] * marks[a] + kernel[1] * marks[i] + kernel[2] * marks[b])) ** 0.5
+        u.weight *= 1 - CUE_WEIGHT * sums[u.path][4] / sums[u.path][0]
     # the block whose own paths gather most weight
     title = re.split(r"\s+[-–—|·]\s+(?=[^-–—|·]*$)", page.title)[0].strip() if page.title else ""
     own: dict[int, int] = {}
@@ -283,10 +300,10 @@ def body(source: str | None) -> list[tuple[str, bool]]:
 
     credit: dict[int, float] = defaultdict(float)
     with_title: set[int] = set()
-    for u, c in zip(units, cue):
+    for u in units:
         x = container(u.node)
         size = len(u.text)
-        if not c and (size - u.linked > 0.5 * size or (u.links <= 1 and size > 60)):
+        if size - u.linked > 0.5 * size or (u.links <= 1 and size > 60):
             credit[x] += u.weight * min(size, 2000)
         if title and u.text == title:
             with_title |= {x, page.parent[x]}
@@ -321,9 +338,9 @@ def body(source: str | None) -> list[tuple[str, bool]]:
     # shares of the pieces of the body, by the signature of main's child
     parts: dict[str, float] = defaultdict(float)
     total = 0.0
-    for u, c in zip(units, cue):
+    for u in units:
         steps = below(u.node)
-        if steps is not None and not c:
+        if steps is not None:
             key = page.sig[steps[-1]] if steps else ""
             size = len(u.text) - (u.linked if u.links > 1 else 0)
             parts[key] += size
@@ -338,7 +355,7 @@ def body(source: str | None) -> list[tuple[str, bool]]:
         keep = False
         if i == first_title:
             keep = started = True
-        elif not c:
+        else:
             steps = below(u.node)
             if steps is not None and (first_title is None or below(units[first_title].node) is None or i > first_title):
                 keep = True
@@ -367,29 +384,30 @@ def body(source: str | None) -> list[tuple[str, bool]]:
                             keep = False
                         if not keep:
                             break
-        out.append((u.text, keep))
+        out.append((u.text, keep, c))
     return out
 
 
-PAGE_UNITS = "id string, hash array<bigint>, keep array<boolean>, md5 array<string>"
+PAGE_UNITS = "id string, hash array<bigint>, keep array<boolean>, cue array<boolean>, md5 array<string>"
 
 
 def page_units(pages: DataFrame) -> DataFrame:
-    """One row a page (id, html): masked hash, place and digest of its units."""
+    """One row a page (id, html): masked hash, place, phrases and digest of its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                done = [body(x) for x in part.column(1).to_pylist()]
+                done = [judged(x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
-                        pa.array([[hashed(t) for t, _ in d] for d in done], pa.list_(pa.int64())),
-                        pa.array([[k for _, k in d] for d in done], pa.list_(pa.bool_())),
-                        pa.array([[md5(t) if k else None for t, k in d] for d in done], pa.list_(pa.string())),
+                        pa.array([[hashed(t) for t, _, _ in d] for d in done], pa.list_(pa.int64())),
+                        pa.array([[k for _, k, _ in d] for d in done], pa.list_(pa.bool_())),
+                        pa.array([[c for _, _, c in d] for d in done], pa.list_(pa.bool_())),
+                        pa.array([[md5(t) if k else None for t, k, _ in d] for d in done], pa.list_(pa.string())),
                     ],
-                    names=["id", "hash", "keep", "md5"],
+                    names=["id", "hash", "keep", "cue", "md5"],
                 )
 
     return pages.select("id", "html").mapInArrow(run, PAGE_UNITS)
@@ -397,8 +415,9 @@ def page_units(pages: DataFrame) -> DataFrame:
 
 def lexicon(units: DataFrame) -> DataFrame:
     """``hash`` of the masked texts that are furniture in all pages together."""
-    flat = units.select(F.explode(F.arrays_zip("hash", "keep")).alias("u")).select("u.*")
-    return flat.groupBy("hash").agg(F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("outside")).where((F.col("n") >= SEEN) & (F.col("outside") >= OUTSIDE * F.col("n"))).select("hash")
+    flat = units.select(F.explode(F.arrays_zip("hash", "keep", "cue")).alias("u")).select("u.*")
+    seen = flat.groupBy("hash").agg(F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("outside"), F.count_if("cue").alias("cued"))
+    return seen.where((F.col("n") >= SEEN) & (F.col("outside") + CUE_WEIGHT * F.col("cued") >= OUTSIDE * F.col("n"))).select("hash")
 
 
 # Sections.
@@ -427,7 +446,7 @@ def noise_lines(text: str | None, listed: set[int]) -> list[int]:
         if not plain:
             continue
         crumbs = CRUMB.match(plain) and all(0 < len(x.split()) <= 4 and x.strip(" []")[:1].isupper() for x in re.split(r" (?:>|»|\||/|·|›|→) ", plain))
-        if furniture(plain) or crumbs or (i in listed and not (len(plain) > 150)):
+        if crumbs or i in listed or phrased(plain) >= COVERED:
             noise[i] = True
     # runs of short entries: a path with hardly any text and no punctuation
     i = 0
@@ -457,7 +476,7 @@ def section_noise(sections: DataFrame, words: DataFrame) -> DataFrame:
                 for i, line in enumerate(text.split("\n")):
                     plain = " ".join(line.split())
                     plain = plain[2:] if plain.startswith("- ") else plain
-                    if plain and len(plain) <= 200:
+                    if plain:
                         ids.append(key)
                         hashes.append(hashed(plain))
                         numbers.append(i)

@@ -1,0 +1,38 @@
+from corpusloom.llm import boilerplate as B
+
+BODY = [
+    "Zinc", "Zinc white is a registered trademark of nobody, and it is sold under many names.", "See also", "Settings", "From Brass",
+    "He sent a newsletter to all owners of zinc roofs, and they were pleased.", "The text is available under that name in the older books on metals.",
+    "It was a good joke among smiths, lol", "Accept all",
+]
+TAGS = ["h1", "p", "h2", "h2", "h2", "p", "p", "p", "h3"]
+PAGE = """<html><head><title>Zinc - Site</title></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="c">%s</div>
+<div class="side"><h3>Related</h3><ul><li><a href=/x>Copper</a></li></ul></div><footer><p>%s</p></footer></body></html>"""
+
+
+def page(end="Privacy policy"):
+    return PAGE % ("".join(f"<{t}>{x}</{t}>" for t, x in zip(TAGS, BODY)), end)
+
+
+def test_phrases_in_the_body_stay():
+    assert [t for t, k in B.body(page()) if k] == BODY
+
+
+def test_phrases_in_the_body_stay_in_the_result(spark):
+    pages = spark.createDataFrame([(str(i), page()) for i in range(6)], "id string, html string")
+    sections = spark.createDataFrame([], "id string, text string")
+    got = {(r.row_key, r.unit_md5) for r in B.found(pages, sections).collect()}
+    assert got == {(str(i), B.md5(t)) for i in range(6) for t in BODY}
+
+
+def test_lines_with_a_phrase_stay():
+    text = "\n".join([BODY[1], BODY[5], BODY[6], BODY[7], "- He wrote a newsletter.", "Skip to main content", "Terms of use"])
+    assert B.noise_lines(text, set()) == [5, 6]
+
+
+def test_long_lines_of_the_lexicon(spark):
+    end = "This site is run by the Guild of Tin, " + "and by the friends of the Guild of Tin, " * 6 + "since 1900."
+    pages = spark.createDataFrame([(str(i), page(end)) for i in range(6)], "id string, html string")
+    sections = spark.createDataFrame([("s", end + "\nA line of text.")], "id string, text string")
+    noise = [r.unit_md5 for r in B.found(pages, sections).collect() if r.kind == "section_noise"]
+    assert noise == [B.md5(end)]
