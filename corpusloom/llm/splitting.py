@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -58,15 +59,23 @@ def boundaries(text: str, start: int, stop: int, first: bool, last: bool) -> tup
     return keys, [at[p] for p in keys]
 
 
-def plan(length: int, at: list[int], kind: list[int], limit: int, overlap: int) -> tuple[list[int], list[int], list[bool], int]:
+def plan(length: int, at: list[int], kind: list[int], limit: int, overlap: int, floor: Callable[[int], int] = int) -> tuple[list[int], list[int], list[bool], int]:
     """Starts, ends and forced flags of the pieces of a text, and its longest stretch without a boundary.
 
     Each piece ends at the best boundary within its limit (see FILL), else at the limit (forced). The next one starts
     exactly ``overlap`` characters before that end, or less where it would not get on by at least one character.
-    A stretch is counted between boundaries with the white space at its ends left out.
+    A stretch is counted between boundaries with the white space at its ends left out. ``floor`` moves a forced end and
+    a start back to where a piece may end or start at all; a limit that holds nothing of that kind is exceeded.
     """
     import bisect
 
+    def after(position: int) -> int:
+        """The first place beyond ``position`` where a piece may start."""
+        x = position + 1
+        while floor(x) <= position:
+            x += 1
+        return x
+
     limit = max(1, limit)
     starts, ends, forced, begin = [], [], [], 0
     while True:
@@ -87,11 +96,17 @@ def plan(length: int, at: list[int], kind: list[int], limit: int, overlap: int)
                 if best == 4 or at[x] < least:
                     break
         ok = best > 0
-        end = cut if ok else begin + limit
+        end = cut if ok else floor(begin + limit)
+        if end <= begin:
+            end = after(begin)
         starts.append(begin)
         ends.append(end)
         forced.append(not ok)
-        begin = max(end - max(0, overlap), begin + 1)
+        begin, last = floor(max(0, end - max(0, overlap))), begin
+        if begin <= last:
+            begin = after(last)
+        if end >= length:  # only where the last piece had to exceed its limit
+            break
     return starts, ends, forced, longest(length, at)
 
 
@@ -123,18 +138,22 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _plans(groups: pd.Series, length: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.DataFrame:
+def _planned(groups: pd.Series, length: pd.Series, limit: pd.Series, overlap: pd.Series, floors: list[Callable[[int], int]]) -> pd.DataFrame:
     out = []
-    for parts, n, most, back in zip(groups, length, limit, overlap):
+    for parts, n, most, back, floor in zip(groups, length, limit, overlap, floors):
         at, kind, base = [], [], 0
         for part in parts:  # stitched in order; base is the prefix sum of the range lengths
             at += [base + int(p) for p in part["at"]]
             kind += [int(k) for k in part["kind"]]
             base += int(part["size"])
-        out.append(plan(int(n), at, kind, int(most), int(back)))
+        out.append(plan(int(n), at, kind, int(most), int(back), floor))
     return pd.DataFrame(out, columns=["starts", "ends", "forced", "longest"])
 
 
+def _plans(groups: pd.Series, length: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.DataFrame:
+    return _planned(groups, length, limit, overlap, [int] * len(groups))
+
+
 PLAN = "starts array<bigint>, ends array<bigint>, forced array<boolean>, longest bigint"
 
 
@@ -213,6 +232,45 @@ def found(df: DataFrame, limits: DataFrame) -> DataFrame:
 # Files: byte ranges, so that no task loads a whole file.
 
 
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if SPACE.match(c))
+_ANY = lambda chars: b"(?:" + b"|".join(re.escape(c.encode()) for c in chars) + b")"
+#: The patterns above on the bytes of UTF-8.
+SPACE_BYTES, SPACES_BYTES = re.compile(_ANY(_SPACES)), re.compile(_ANY(_SPACES) + b"+")
+SENTENCE_BYTES = re.compile(_ANY(CJK_ENDS) + b"|[.!?]" + _ANY("\"”’')]") + b"*(?=" + _ANY(_SPACES) + b")")
+
+
+def byte_boundaries(data: bytes, start: int, stop: int) -> tuple[list[int], list[int]]:
+    """``boundaries`` on UTF-8 bytes."""
+    at: dict[int, int] = {}
+    for m in SPACES_BYTES.finditer(data):
+        run, b = m.group(), m.end()
+        kind = 4 if run.count(b"\n") > 1 else 3 if b"\n" in run or b"\r" in run else 1
+        at.setdefault(m.start(), 1)
+        for one in SPACE_BYTES.finditer(data, *m.span()):
+            at[one.end()] = max(at.get(one.end(), 0), kind if one.end() == b else 1)
+    for m in SENTENCE_BYTES.finditer(data):
+        p = m.end()
+        at[p] = max(at.get(p, 0), 2)
+        space = SPACE_BYTES.match(data, p)
+        if m.group().decode("utf-8", "ignore")[-1:] not in CJK_ENDS and space:
+            at[space.end()] = max(at.get(space.end(), 0), 2)
+    keys = sorted(p for p in at if start < p <= stop)
+    return keys, [at[p] for p in keys]
+
+
+def character_start(path: str, position: int) -> int:
+    """The place of the UTF-8 character that holds the byte at ``position``; bytes that are no UTF-8 stand for themselves."""
+    tail = _read(path, max(0, position - 3), position + 1)
+    if len(tail) < min(position, 3) + 1:  # the end of the file
+        return position
+    for back in range(min(position, 3) + 1):
+        lead = tail[-1 - back]
+        if lead & 0xC0 != 0x80:
+            size = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
+            return position - back if back < size else position
+    return position
+
+
 def _read(path: str, start: int, stop: int) -> bytes:
     with open(path, "rb") as file:
         file.seek(start)
@@ -223,7 +281,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
     """Pieces of UTF-8 files that all workers can open: path, piece_no, start and end byte, forced, piece.
 
     ``limit`` and ``overlap`` are in bytes here, and cuts fall between characters only; with a forced cut in the middle
-    of a character the piece ends before it. Ranges of ``range_bytes`` are scanned on their own and each piece is read
+    of a character the piece ends before it, and a piece that would start in one starts before it. Ranges of ``range_bytes`` are scanned on their own and each piece is read
     by offset.
     """
     halo = 64
@@ -238,20 +296,16 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
             for r in batch.itertuples():
                 lead = min(halo, r.start)
                 data = _read(r.path, r.start - lead, min(r.size, r.stop + halo))
-                at: dict[int, int] = {}
-                for m in re.finditer(rb"[ \t\r\n]+", data):
-                    run, (a, b) = m.group(), m.span()
-                    kind = 4 if run.count(b"\n") > 1 else 3 if b"\n" in run else 1
-                    at[b] = kind
-                for m in re.finditer(rb"\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|[.!?](?=\s)", data):
-                    at[m.end()] = max(at.get(m.end(), 0), 2)
-                keys = sorted(p for p in at if lead < p <= lead + r.stop - r.start)
-                yield pd.DataFrame({"path": [r.path], "part": [r.part], "size": [r.stop - r.start], "total": [r.size], "at": [[p - lead for p in keys]], "kind": [[at[p] for p in keys]]})
+                keys, kinds = byte_boundaries(data, lead, lead + r.stop - r.start)
+                yield pd.DataFrame({"path": [r.path], "part": [r.part], "size": [r.stop - r.start], "total": [r.size], "at": [[p - lead for p in keys]], "kind": [kinds]})
 
     tables = ranges.repartition(max(1, len(spans)), "path", "part").mapInPandas(scan, "path string, part int, size bigint, total bigint, at array<bigint>, kind array<int>")
     stitched = tables.groupBy("path").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "kind", "size"))), lambda x: F.struct(x["at"], x["kind"], x["size"])).alias("parts"))
-    planned = F.pandas_udf(_plans, PLAN)
-    cuts = stitched.withColumn("cut", planned("parts", "total", F.lit(limit), F.lit(overlap))).select(
+
+    def plans(paths: pd.Series, groups: pd.Series, length: pd.Series) -> pd.DataFrame:
+        return _planned(groups, length, pd.Series([limit] * len(paths)), pd.Series([overlap] * len(paths)), [partial(character_start, p) for p in paths])
+
+    cuts = stitched.withColumn("cut", F.pandas_udf(plans, PLAN)("path", "parts", "total")).select(
         "path", F.posexplode(F.arrays_zip("cut.starts", "cut.ends", "cut.forced")).alias("piece_no", "cut")
     )
 
