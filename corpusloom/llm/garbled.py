@@ -95,7 +95,7 @@ def right(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
             out = data.decode(true)
         except (UnicodeError, KeyError):
             return None
-    return out if out != text else None
+    return out if out != text and wrong(out, chain) == text else None
 
 
 def buckets(text: str) -> np.ndarray:
