@@ -2,9 +2,10 @@
 
 The leaf blocks of a text are its lines. Each gets features from its own text (syntax tokens, first and last
 characters, word shape), from its neighbours, and from its ancestors, that is the constructs open at the line (a fence,
-``pre``, an environment, a table, a template, a list). A linear-chain CRF labels the blocks; it is trained on a bounded
-sample of rows labelled by the published grammars, and decoded by Viterbi. The labels say what a block was, so that
-headings, lists, code and formulas keep their structure when the syntax is taken away.
+``pre``, an environment, a table, a template, a list). A linear-chain CRF labels the blocks; it is trained on pages
+that were written with known labels (``llm/pages.py``), and decoded by Viterbi. A text has residue if a block of it is
+labelled as anything but text. The labels say what a block was, so that headings, lists, code and formulas keep their
+structure when the syntax is taken away.
 
 What is no residue: the notation ``- ``, ``_{..}`` and ``^{..}``, and signs that are content, such as comparisons,
 prices, paths, intervals, matrices, Miller indices and line formulas of molecules.
@@ -15,19 +16,21 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.crf import Crf
+from corpusloom.llm.pages import CODE, DROP, FORMULA, HEADING, LIST, TABLE, TEXT, pages
+from corpusloom.llm.rows import distinct_rows
 
-#: Rows of the training sample at most, chosen by hash.
-SAMPLE_ROWS = 4000
+#: Written pages that the model is trained on, and their seed.
+PAGES, SEED = 1500, 11
 FEATURES = 1 << 12
 LABELS = ["text", "inline", "heading", "list", "code", "formula", "table", "drop"]
-TEXT, INLINE, HEADING, LIST, CODE, FORMULA, TABLE, DROP = range(8)
 
 # Element names of HTML and of wiki extensions.
 _TAGS = (
@@ -133,42 +136,6 @@ def tokens(line: str) -> list[str]:
     return [k for k, p in TOKENS.items() if p.search(line)] + [k for k, p in LINES.items() if p.search(line)]
 
 
-def _blank(line: str) -> str:
-    """A line without its inline tokens, to see whether a line form is all there is."""
-    for name in ("tag", "strong", "under", "strike"):
-        line = TOKENS[name].sub("", line)
-    return line.strip()
-
-
-def grammar(lines: list[str]) -> list[int]:
-    """Labels of the lines by the published grammars: the labelled pages that the model is trained on."""
-    inside, out = ancestors(lines), []
-    found = [tokens(x) for x in lines]
-    for i, line in enumerate(lines):
-        t, a = set(found[i]), inside[i]
-        if a in ("fence", "pre", "code"):
-            out.append(CODE)
-        elif a == "formula":
-            out.append(FORMULA)
-        elif a in ("comment", "template") and (a == "template" or not _blank(re.sub(r"<!--.*?-->", "", line))):
-            out.append(DROP)
-        elif a == "table" or t & {"htmltable", "piperule", "wikitable", "wikicell", "pipe"}:
-            out.append(TABLE)
-        elif a == "list" or t & {"htmllist", "task", "item"}:
-            out.append(LIST)
-        elif "star" in t and any(0 <= j < len(lines) and "star" in found[j] for j in (i - 1, i + 1)):
-            out.append(LIST)
-        elif t & {"atx", "wikihead", "section", "htmlhead"}:
-            out.append(HEADING)
-        elif t & {"category", "magic", "rule"}:
-            out.append(DROP)
-        elif t & (TOKENS.keys() | {"quote", "begin", "end"}):
-            out.append(INLINE)
-        else:
-            out.append(TEXT)
-    return out
-
-
 def _hash(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
@@ -202,31 +169,55 @@ def features(lines: list[str]) -> list[list[int]]:
     return rows
 
 
-def fit(texts: list[str]) -> Crf:
-    """The CRF from sample texts; deterministic for the same texts."""
+def fit(labelled: list[tuple[list[str], list[int]]]) -> Crf:
+    """The CRF from labelled pages; deterministic for the same pages."""
     grouped: dict[tuple, list] = {}
-    for text in texts:
-        lines = text.split("\n")
+    for lines, labels in labelled:
         rows = features(lines)
-        key = tuple(map(tuple, rows))
+        key = tuple(map(tuple, rows)), tuple(labels)
         if key in grouped:
             grouped[key][2] += 1.0
         else:
-            grouped[key] = [rows, grammar(lines), 1.0]
-    sequences = [(r, g, min(5.0, 1.0 + n / 10)) for r, g, n in grouped.values()]
-    return Crf(FEATURES, len(LABELS)).fit(sequences)
+            grouped[key] = [rows, labels, 1.0]
+    return Crf(FEATURES, len(LABELS)).fit([(r, g, min(5.0, n)) for r, g, n in grouped.values()])
+
+
+@cache
+def model() -> Crf:
+    """The model of the written pages."""
+    return fit(pages(PAGES, SEED))
+
+
+def scores(one: Crf, labelled: list[tuple[list[str], list[int]]]) -> dict[str, float]:
+    """F1 of every label on labelled pages."""
+    hit, said, true = ([0] * len(LABELS) for _ in range(3))
+    for lines, labels in labelled:
+        for got, want in zip(one.decode(features(lines)), labels):
+            said[got] += 1
+            true[want] += 1
+            hit[got] += got == want
+    return {name: 2 * h / (s + t) if s + t else 1.0 for name, h, s, t in zip(LABELS, hit, said, true)}
 
 
 # Taking the syntax away.
 
 _COMMANDS = re.compile(r"\\(?:emph|textbf|textit|texttt|text|mathrm|mathbf|mathit|ce|underline|textsc|mbox|operatorname)\{([^{}]*)\}")
+_VALUES = re.compile(r"\{\{\s*(?:chem|convert|val|nowrap|lang)\s*\|([^{}]*)\}\}")
 _DROPPED = re.compile(r"~?\\(?:cite|ref|label|footnote|vspace|hspace|includegraphics|index)\*?(?:\[[^\]]*\])?\{[^{}]*\}")
 
 
+def until_stable(change: Callable[[str], str], text: str) -> str:
+    """``text`` changed again and again, until nothing new comes of it."""
+    seen = set()
+    while text not in seen:
+        seen.add(text)
+        text = change(text)
+    return text
+
+
 def plain(line: str) -> str:
     """A line without inline syntax."""
-    for _ in range(2):
-        line = html.unescape(line).replace("\xa0", " ")
+    line = until_stable(html.unescape, line).replace("\xa0", " ")
     line = re.sub(r"<!--.*?(?:-->|$)|^.*?-->", "", line)
     line = re.sub(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<sup\b[^<>]*>\s*\[[^\]]*\]\s*</sup>", "", line, flags=re.I)
     line = re.sub(r"<sub\b[^<>]*>(.*?)</sub>", r"_{\1}", line, flags=re.I)
@@ -235,9 +226,7 @@ def plain(line: str) -> str:
     line = TOKENS["autolink"].sub(lambda m: m.group()[1:-1], line)
     line = TOKENS["tag"].sub("", line)
     line = re.sub(r"\[\[(?:Category|File|Image)\s*:[^\[\]]*\]\]", "", line, flags=re.I)
-    for _ in range(3):
-        line = re.sub(r"\{\{\s*(?:chem|convert|val|nowrap|lang)\s*\|([^{}]*)\}\}", lambda m: " ".join(x for x in m.group(1).split("|") if "=" not in x), line)
-        line = TOKENS["template"].sub("", line)
+    line = until_stable(lambda x: TOKENS["template"].sub("", _VALUES.sub(lambda m: " ".join(v for v in m.group(1).split("|") if "=" not in v), x)), line)
     line = re.sub(r"\[\[(?![\d\s,.+-])(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", r"\1", line)
     line = re.sub(r"!\[([^\[\]]*)\]\([^()]*\)", r"\1", line)
     line = re.sub(r"\[([^\[\]]+)\]\(" + _URL + r"(?:\s\"[^\"]*\")?\)", r"\1", line)
@@ -253,8 +242,7 @@ def plain(line: str) -> str:
     line = re.sub(r"\\\(\s*(.*?)\s*\\\)|\\\[\s*(.*?)\s*\\\]", lambda m: m.group(1) or m.group(2) or "", line)
     line = TOKENS["dollar"].sub(lambda m: m.group().strip("$"), line)
     line = _DROPPED.sub("", line)
-    for _ in range(3):
-        line = _COMMANDS.sub(r"\1", line)
+    line = until_stable(lambda x: _COMMANDS.sub(r"\1", x), line)
     line = re.sub(r"\\[,;!:]\s?", " ", line)
     line = re.sub(r"\\frac\{([^{}]*(?:\{[^{}]*\})?[^{}]*)\}\{([^{}]*(?:\{[^{}]*\})?[^{}]*)\}", r"(\1)/(\2)", line)
     line = re.sub(r"\\(alpha|beta|gamma|delta|Delta|lambda|mu|pi|sigma|omega|theta|rho)\b", lambda m: html.unescape(f"&{m.group(1)};"), line)
@@ -265,15 +253,14 @@ def plain(line: str) -> str:
 
 def settle(text: str) -> str:
     """A block without the syntax that comes to light when an outer one is gone."""
-    for _ in range(3):
-        if not any(p.search(text) for p in TOKENS.values()):
-            break
-        entry = text.startswith("- ")
-        after = ("- " if entry else "") + plain(text[2:] if entry else text)
-        if after == text:
-            break
-        text = after
-    return text
+
+    def once(x: str) -> str:
+        if not any(p.search(x) for p in TOKENS.values()):
+            return x
+        entry = x.startswith("- ")
+        return ("- " if entry else "") + plain(x[2:] if entry else x)
+
+    return until_stable(once, text)
 
 
 def restructure(lines: list[str], labels: list[int]) -> list[tuple[str, str]]:
@@ -342,47 +329,46 @@ class Cleaner:
             return False, text, []
         lines = text.split("\n")
         labels = self.labels(lines)
-        # exact check: the labelled blocks hold syntax indeed
-        if all(x == TEXT for x in labels) or not any(x != TEXT and (tokens(line) or a) for x, line, a in zip(labels, lines, ancestors(lines))):
+        if all(x == TEXT for x in labels):
             return False, text, [("list" if x.startswith("- ") else "text", x) for x in lines]
         blocks = [(k, t) for k, t in ((k, t if k == "code" else settle(t)) for k, t in restructure(lines, labels)) if t.strip(" \t-'*_~")]
         return True, "\n".join(t for _, t in blocks), blocks
 
 
-def sample_model(df: DataFrame) -> Crf:
-    """A model from ``SAMPLE_ROWS`` texts of ``df`` (column text) at most."""
-    pool = df.where(F.length("text") > 0).select(F.xxhash64("text").alias("h"), "text").distinct()
-    return fit([r["text"] for r in pool.orderBy("h", "text").limit(SAMPLE_ROWS).collect()])
+CLEANED = "src string, row_key string, residue boolean, clean_text string, blocks array<struct<kind:string,text:string>>"
 
 
-CLEANED = "src string, row_key string, residue boolean, clean_text string, blocks array<struct<kind:string,text:string>>"
+def cleaners(df: DataFrame, one: Crf | None) -> Callable[[], Cleaner]:
+    """What makes a cleaner in a task; the model is shipped once (under 1 MB, whatever the data)."""
+    one = one or model()
+    shipped = df.sparkSession.sparkContext.broadcast((one.w, one.t, one.s))
 
+    def make() -> Cleaner:
+        own = Crf(1, 1)
+        own.w, own.t, own.s = shipped.value
+        return Cleaner(own)
 
-def clean_texts(df: DataFrame, model: Crf | None = None, only_residue: bool = False, blocks: bool = True) -> DataFrame:
+    return make
+
+
+def clean_texts(df: DataFrame, one: Crf | None = None) -> DataFrame:
     """``src, row_key, residue, clean_text, blocks`` of rows with src, row_key and text.
 
     Null and empty texts come out as they are without residue; repeated rows once; rows with a null key keep it.
     """
-    rows = df.select("src", "row_key", "text").distinct()
-    model = model or sample_model(rows)
-    shipped = df.sparkSession.sparkContext.broadcast((model.w, model.t, model.s))
-    wanted = not only_residue
+    make = cleaners(df, one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Crf(1, 1)
-        one.w, one.t, one.s = shipped.value
-        cleaner = Cleaner(one)
+        cleaner = make()
         for batch in batches:
             done = [cleaner.clean(x) for x in batch.column(2).to_pylist()]
-            keep = [i for i, d in enumerate(done) if wanted or d[0]]
-            take = pa.array(keep, pa.int64())
-            lists = [[{"kind": k, "text": t} for k, t in done[i][2]] if blocks else None for i in keep]
+            lists = [[{"kind": k, "text": t} for k, t in d[2]] for d in done]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array([done[i][0] for i in keep], pa.bool_()), pa.array([done[i][1] if blocks else None for i in keep], pa.string()), pa.array(lists, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))],
+                [batch.column(0), batch.column(1), pa.array([d[0] for d in done], pa.bool_()), pa.array([d[1] for d in done], pa.string()), pa.array(lists, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))],
                 names=["src", "row_key", "residue", "clean_text", "blocks"],
             )
 
-    return rows.mapInArrow(run, CLEANED)
+    return distinct_rows(df.select("src", "row_key", "text")).mapInArrow(run, CLEANED)
 
 
 def sources(sections: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -391,6 +377,15 @@ def sources(sections: DataFrame, corpus: DataFrame) -> DataFrame:
     return one.unionByName(corpus.select(F.lit("corpus").alias("src"), F.col("_id").alias("row_key"), "text"))
 
 
-def found(sections: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``src, row_key`` of the texts that hold residue."""
-    return clean_texts(sources(sections, corpus), only_residue=True, blocks=False).where("row_key IS NOT NULL").select("src", "row_key").distinct()
+def found(sections: DataFrame, corpus: DataFrame, one: Crf | None = None) -> DataFrame:
+    """``src, row_key`` of the texts that hold residue; repeated rows count once, null keys never."""
+    rows = sources(sections, corpus).where(F.col("row_key").isNotNull() & (F.length("text") > 0))
+    make = cleaners(rows, one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cleaner = make()
+        for batch in batches:
+            hits = [i for i, x in enumerate(batch.column(2).to_pylist()) if any(cleaner.labels(x.split("\n")))]
+            yield batch.select(["src", "row_key"]).take(pa.array(hits, pa.int64()))
+
+    return rows.mapInArrow(run, "src string, row_key string").distinct()

@@ -1,9 +1,8 @@
-import random
-
 import numpy as np
 import pytest
 
 from corpusloom.llm import markup as M
+from corpusloom.llm import pages as P
 from corpusloom.llm.crf import Crf
 
 CLEAN = [
@@ -24,10 +23,33 @@ BLOCKS = "== Uses ==\nPlain text, as before.\n```python\nrate = 40 * k1\n```\n*
 
 @pytest.fixture(scope="module")
 def cleaner():
-    rng = random.Random(1)
-    lines = CLEAN + list(DIRTY)
-    texts = ["\n".join(rng.sample(CLEAN, 3)) for _ in range(80)] + ["\n".join(rng.sample(lines, 3)) for _ in range(150)] + [BLOCKS] * 10 + list(lines)
-    return M.Cleaner(M.fit(texts))
+    return M.Cleaner(M.model())
+
+
+def test_held_out_pages():
+    assert min(M.scores(M.model(), P.pages(400, 99)).values()) > 0.95
+    assert P.pages(20, 5) == P.pages(20, 5) != P.pages(20, 6)
+
+
+def test_labels_are_decided_by_the_model_alone(cleaner):
+    blind = Crf(M.FEATURES, len(M.LABELS))  # all labels alike: the first one, text
+    assert M.Cleaner(blind).clean("A <b>bold</b> word") == (False, "A <b>bold</b> word", [("text", "A <b>bold</b> word")])
+    context = ["```", "plain words only", "```"]
+    assert cleaner.labels(context) == [P.CODE] * 3 and cleaner.labels(context[1:2]) == [P.TEXT]
+
+
+def test_deep_nesting_is_cleaned(cleaner):
+    deep = "x"
+    for _ in range(9):
+        deep = "\\emph{" + deep + "}"
+    assert cleaner.clean(f"An {deep} here")[1] == "An x here"
+    assert cleaner.clean("R" + "&amp;" * 1 + "amp;" * 8 + "lt;b> now")[1] == "R now"
+
+
+def test_repeated_rows_once(spark):
+    rows = spark.createDataFrame([("s", "1", "The <b>gas</b>"), ("s", "1", "The <b>gas</b>"), ("s", None, None), ("s", None, None), ("s", "1", None), ("s", "1", "")], "src string, row_key string, text string")
+    got = sorted((r.row_key or "", r.clean_text or "", r.clean_text is None) for r in M.clean_texts(rows).collect())
+    assert got == [("", "", True), ("1", "", False), ("1", "", True), ("1", "The gas", False)]
 
 
 def test_content_signs_stay(cleaner):
