@@ -51,7 +51,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counted = tokens.count_tokens(load(spark, sf_dir, "documents"), ["doc_id", "source"])
+    counted = tokens.count_tokens(load(spark, sf_dir, "documents"), ["doc_id", "source", "lang"])
     return mixing.mix(checkpoint(counted.where("n_tokens > 0")), load(spark, sf_dir, "mix_targets"))
 
 
