@@ -3,33 +3,41 @@
 A page is read once into units, the texts between two block-level tags. Text length, punctuation and link text are
 aggregated per root-to-leaf tag path; the ratios per path are smoothed over the sequence of units and fused into one
 weight, and the block whose own paths gather most weight is the body of the article. Within it, paths below the
-threshold (boxes, link lists, odd classes) are taken out again. The structure of all pages together then gives a
-lexicon: unit texts, with numbers and names masked, that nearly always lie outside the body. It removes furniture that
-a page puts between paragraphs with the very same path, and finds the noise lines of section texts, whose pseudo-paths
-(line or list entry) carry the same ratios.
+threshold (boxes, link lists, odd classes) are taken out again. The places of all units of all pages then teach two
+things: a lexicon of masked texts that mostly lie outside the bodies, by a confidence bound, which removes furniture that
+a page puts between paragraphs with the very same path; and for each word its odds of standing outside a body.
+
+Sections have no tags; their lines have pseudo-paths (entry or line, end of a sentence, syntax signs, length). The ratio
+of a pseudo-path is the share of noise among its lines in all sections: lines that the lexicon lists, and others by the
+odds of their words. The ratio is fused with the odds of the words of the line, smoothed over the neighbouring lines,
+and lines above the threshold are noise.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import BROADCAST_BYTES, checkpoint
+from corpusloom.llm.rows import distinct_rows
+from corpusloom.session import BROADCAST_BYTES, checkpoint, counted
 
-#: A masked text is furniture if it was seen this often and lay outside the body in this share of cases.
-SEEN, OUTSIDE = 5, 0.93
-#: What a phrase of page furniture adds to that share, and takes from the weight of a path that has it in all units.
-CUE_WEIGHT = 0.4
-#: A line of a section is noise without the lexicon if the share of it that is phrases, and ``CUE_WEIGHT`` where it
-#: does not end as a sentence, come to this.
-COVERED = 0.7
+#: A masked text is furniture if it lies outside the body in more than this share of cases, by the lower confidence
+#: bound (Wilson's, at ``Z`` standard deviations).
+OUTSIDE, Z = 0.55, 1.645
+#: Buckets of the hashed words, and what is added to the counts of each.
+BUCKETS, PRIOR = 1 << 16, 2.0
+#: What the neighbours of a line add to its score, and the width of a bin of word odds.
+SMOOTH, BIN = 0.25, 0.25
 #: A nested block is a part of the body only with this share of its text.
 SHARE = 0.3
 
@@ -50,62 +58,9 @@ ATTRIBUTE = re.compile(r"([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？]")
 SENTENCE_END = re.compile(r"[.!?:;。！？…][\"”’)\]]*$")
 DIGITS = re.compile(r"\d+")
+WORDS = re.compile(r"\w+")
 NAMES = re.compile(r"\b[A-ZÀ-ÞΑ-ΩА-Я][\w’'-]{5,}")
 
-# Phrases of page furniture in the languages of the pages. They are one weighted feature of paths and of
-# the learnt lexicon; no unit of a page is left out for a phrase alone.
-CUES = re.compile(
-    r"\bcookies? (?:to|are|on|policy|settings|notice)\b|\b(?:our|use|accept|all) cookies\b|^privacy policy$|privacy matters|^terms of (?:use|service)$|^(?:imprint|impressum|datenschutz|confidentialité)$"
-    r"|©\s*\d{4}|\ball rights reserved\.?$|alle rechte vorbehalten|tous droits réservés|mentions légales|nutzungsbedingungen"
-    r"|last (?:edited|modified|updated) on|zuletzt am .* (?:bearbeitet|geändert)|dernière modification de cette page|text is available under|registered trademark of"
-    r"|^mobile view$|^page viewed|newsletter|^(?:advertisement|anzeige|publicité|werbung|sponsored)$|download our .*\bapp\b|become a member|support .* with a (?:monthly )?gift"
-    r"|^share this\b|article helpful|artikel hilfreich|article (?:vous a-t-il|utile)|log in to (?:leave|post)|\d ?% off until|^comments? ?\(\d+\)|^loading comments"
-    r"|^(?:you might also like|most read(?: this week)?|editor.s picks|related articles?|in this series|trending now|read next|see also|tags|schlagwörter)\b:?$|^(?:related articles|you might also like|read next|most read|trending now|in this series|editor.s picks|tags|schlagwörter): "
-    r"|^skip to\b|^jump to\b|^back to top|^toggle the|^(?:edit this page|view source)\b|^(?:previous|next)(?: article)?: |^(?:posted|written) by\b|^reply\b.*\breport\b|\d+ min read\b"
-    r"|^accept all$|^reject all$|^settings$|^manage options$|behaviour\. accept all|stores small files on your device|speicherung kleiner dateien|petits fichiers sur votre appareil"
-    r"|^from \w+$|^categor(?:y|ies): |\blol$|^thanks?\b.*!|\bmy teacher\b|^could someone\b|^where can i buy\b|^(?:great|nice) (?:read|article)|^was this\b|^filed under:|^les plus lus\b|^articles liés\b|^à lire aussi|^mots-clés\b|^partager cette page|^seite teilen|^meistgelesen$|^das könnte sie|^verwandte artikel|cet article vous a-t-il|^lo más leído|^artículos relacionados|^compartir esta página|^mais lidas|^artigos relacionados|^for other meanings, see\b",
-    re.I,
-)
-
-
-# What a text has in lower case if one of the phrases is in it at all.
-KEYS = [
-    "cookie", "privacy", "terms of", "imprint", "impressum", "datenschutz", "confidentialité", "©", "rights reserved", "rechte vorbehalten", "droits réservés",
-    "mentions légales", "nutzungsbed", "last edited", "last modified", "last updated", "zuletzt am", "dernière modification", "available under", "registered trademark",
-    "mobile view", "page viewed", "newsletter", "advertisement", "anzeige", "publicité", "werbung", "sponsored", "download our", "become a member", "support ",
-    "share this", "helpful", "hilfreich", "article vous", "article utile", "log in to", "% off", "comment", "might also", "most read", "picks", "related article", "in this series",
-    "trending", "read next", "see also", "tags", "schlagwörter", "skip to", "jump to", "back to top", "toggle the", "edit this page", "view source", "previous", "next", "posted by",
-    "written by", "reply", "min read", "accept all", "reject all", "settings", "manage options", "stores small", "speicherung kleiner", "petits fichiers", "from ", "categor",
-    "lol", "thank", "my teacher", "could someone", "where can i", "great ", "nice ", "was this", "filed under", "plus lus", "liés", "lire aussi", "mots-clés", "partager",
-    "teilen", "meistgelesen", "das könnte", "verwandte", "leído", "artículos rel", "compartir", "mais lidas", "artigos rel", "for other meanings",
-]
-_known: dict[str, bool] = {}
-
-
-def furniture(text: str) -> bool:
-    """Whether a text has a phrase of page furniture."""
-    low = text.lower()
-    for k in KEYS:
-        if k in low:
-            break
-    else:
-        return False
-    key = DIGITS.sub("0", text)
-    found = _known.get(key)
-    if found is None:
-        found = CUES.search(text) is not None
-        if len(_known) < 50_000:
-            _known[key] = found
-    return found
-
-
-def phrased(text: str) -> float:
-    """Share of a line that phrases of page furniture make up, and more if it does not end as a sentence; 0 without a phrase."""
-    if not furniture(text):
-        return 0.0
-    return sum(m.end() - m.start() for m in CUES.finditer(text)) / len(text) + (0 if SENTENCE_END.search(text) else CUE_WEIGHT)
-
-
 def mask(text: str) -> str:
     """A text with its numbers and, in longer ones, its names left out."""
     out = DIGITS.sub("0", text)
@@ -116,8 +71,28 @@ def hashed(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(mask(text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def md5(text: str) -> str:
-    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return digest(text).hex()
+
+
+_buckets: dict[str, int] = {}
+
+
+def word_buckets(text: str) -> set[int]:
+    """Hashed words of a text; numbers count as one."""
+    out = set()
+    for w in WORDS.findall(DIGITS.sub("0", text.lower())):
+        x = _buckets.get(w)
+        if x is None:
+            x = zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS
+            if len(_buckets) < 200_000:
+                _buckets[w] = x
+        out.add(x)
+    return out
 
 
 class Unit:
@@ -252,11 +227,6 @@ class Page:
 
 def body(source: str | None) -> list[tuple[str, bool]]:
     """``(text, in the body)`` of every unit of a page; none for null and empty pages."""
-    return [(text, keep) for text, keep, _ in judged(source)]
-
-
-def judged(source: str | None) -> list[tuple[str, bool, bool]]:
-    """``(text, in the body, has a phrase of page furniture)`` of every unit of a page."""
     if not source:
         return []
     page = Page(source)
@@ -264,9 +234,8 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
     if not units:
         return []
     paths: dict[int, str] = {}
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
-    cue = [furniture(u.text) for u in units]
-    for u, c in zip(units, cue):
+    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    for u in units:
         if u.node not in paths:
             paths[u.node] = page.path(u.node)
         u.path = paths[u.node]
@@ -274,7 +243,6 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
         s[0] += 1
         s[1] += len(u.text) - u.linked
         s[2] += len(PUNCTUATION.findall(u.text))
-        s[4] += c
         s[3] += u.linked > 0.7 * len(u.text)
     # ratios by path, smoothed over the units of the page, and fused
     length = [sums[u.path][1] / sums[u.path][0] for u in units]
@@ -283,7 +251,6 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
     for i, u in enumerate(units):
         a, b = max(0, i - 1), min(len(units) - 1, i + 1)
         u.weight = ((kernel[0] * length[a] + kernel[1] * length[i] + kernel[2] * length[b]) * (1 + kernel[0] * marks[a] + kernel[1] * marks[i] + kernel[2] * marks[b])) ** 0.5
-        u.weight *= 1 - CUE_WEIGHT * sums[u.path][4] / sums[u.path][0]
     # the block whose own paths gather most weight
     title = re.split(r"\s+[-–—|·]\s+(?=[^-–—|·]*$)", page.title)[0].strip() if page.title else ""
     own: dict[int, int] = {}
@@ -304,7 +271,7 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
         x = container(u.node)
         size = len(u.text)
         if size - u.linked > 0.5 * size or (u.links <= 1 and size > 60):
-            credit[x] += u.weight * min(size, 2000)
+            credit[x] += u.weight * size
         if title and u.text == title:
             with_title |= {x, page.parent[x]}
             if page.tag[u.node] in HEADINGS:
@@ -351,7 +318,7 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
     del chain
     out, started = [], False
     first_title = next((i for i, u in enumerate(units) if title and u.text == title and (page.tag[u.node] in HEADINGS or below(u.node) is not None)), None)
-    for i, (u, c) in enumerate(zip(units, cue)):
+    for i, u in enumerate(units):
         keep = False
         if i == first_title:
             keep = started = True
@@ -384,122 +351,154 @@ def judged(source: str | None) -> list[tuple[str, bool, bool]]:
                             keep = False
                         if not keep:
                             break
-        out.append((u.text, keep, c))
+        out.append((u.text, keep))
     return out
 
 
-PAGE_UNITS = "id string, hash array<bigint>, keep array<boolean>, cue array<boolean>, md5 array<string>"
+PAGE_UNITS = "id string, hash array<bigint>, keep array<boolean>, md5 array<binary>, bucket array<int>, inside array<bigint>, outside array<bigint>"
 
 
 def page_units(pages: DataFrame) -> DataFrame:
-    """One row a page (id, html): masked hash, place, phrases and digest of its units."""
+    """One row a page (id, html): masked hash, place and digest of its units; and one a task: in how many pages words stand inside and outside the body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, BUCKETS), np.int64)
+        kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        names = ["id", "hash", "keep", "md5", "bucket", "inside", "outside"]
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                done = [judged(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([[hashed(t) for t, _, _ in d] for d in done], pa.list_(pa.int64())),
-                        pa.array([[k for _, k, _ in d] for d in done], pa.list_(pa.bool_())),
-                        pa.array([[c for _, _, c in d] for d in done], pa.list_(pa.bool_())),
-                        pa.array([[md5(t) if k else None for t, k, _ in d] for d in done], pa.list_(pa.string())),
-                    ],
-                    names=["id", "hash", "keep", "cue", "md5"],
-                )
+                done = [body(x) for x in part.column(1).to_pylist()]
+                for side in (0, 1):
+                    found = [x for d in done for x in set().union(*(word_buckets(t) for t, k in d if k == (side == 0)))]
+                    seen[side] += np.bincount(np.array(found, np.int64), minlength=BUCKETS)
+                n = [None] * len(done)
+                columns = [part.column(0), [[hashed(t) for t, _ in d] for d in done], [[k for _, k in d] for d in done], [[digest(t) if k else None for t, k in d] for d in done], n, n, n]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        used = np.flatnonzero(seen.sum(0))
+        columns = [[None], [None], [None], [None], [used.tolist()], [seen[0][used].tolist()], [seen[1][used].tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     return pages.select("id", "html").mapInArrow(run, PAGE_UNITS)
 
 
 def lexicon(units: DataFrame) -> DataFrame:
     """``hash`` of the masked texts that are furniture in all pages together."""
-    flat = units.select(F.explode(F.arrays_zip("hash", "keep", "cue")).alias("u")).select("u.*")
-    seen = flat.groupBy("hash").agg(F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("outside"), F.count_if("cue").alias("cued"))
-    return seen.where((F.col("n") >= SEEN) & (F.col("outside") + CUE_WEIGHT * F.col("cued") >= OUTSIDE * F.col("n"))).select("hash")
+    flat = units.where("bucket IS NULL").select(F.explode(F.arrays_zip("hash", "keep")).alias("u")).select("u.*")
+    seen = flat.groupBy("hash").agg(F.count("*").alias("n"), F.count_if(~F.col("keep")).alias("outside"))
+    n, p, z2 = F.col("n"), F.col("outside") / F.col("n"), Z * Z
+    low = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return seen.where(low > OUTSIDE).select("hash")
+
+
+def word_odds(units: DataFrame) -> np.ndarray:
+    """Log odds of each bucket of words to stand outside a body."""
+    rows = (
+        units.where("bucket IS NOT NULL").select(F.explode(F.arrays_zip("bucket", "inside", "outside")).alias("u")).select("u.*")
+        .groupBy("bucket").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
+    )  # at most BUCKETS rows
+    counts = np.full((2, BUCKETS), PRIOR)
+    for r in rows:
+        counts[:, r.bucket] += r.inside, r.outside
+    return np.log(counts[1] / counts[0]).astype(np.float32)
 
 
 # Sections.
 
 CRUMB = re.compile(r"^(?!\|)(?:\[ )?[^|>»/·.;!?]{1,40}(?: (?:>|»|\||/|·|›|→) [^|>»/·.;!?]{1,40})+(?: \])?$")
-SIGNS = re.compile(r"[<>{}*#`$\\~_=\[\]^]|^\||--")
+CRUMB_SIGN = re.compile(r" (?:>|»|\||/|·|›|→) ")
+SIGNS = re.compile(r"[<>{}*#`$\\~_=\[\]^]|^[|!]|--")
 
 
-def _short(text: str) -> bool:
-    """A few words without the end of a sentence."""
-    return len(text) <= 45 and text.count(" ") <= 4 and not SENTENCE_END.search(text) and not SIGNS.search(text) and any(c.isalpha() for c in text)
+def crumbs(text: str) -> bool:
+    """Whether a line is a row of short names with signs between."""
+    return CRUMB.match(text) is not None and all(0 < len(x.split()) <= 4 and x.strip(" []")[:1].isupper() for x in CRUMB_SIGN.split(text))
 
 
-def noise_lines(text: str | None, listed: set[int]) -> list[int]:
-    """Numbers of the noise lines of a section text; ``listed`` are the lines that the lexicon knows."""
-    if not text:
-        return []
-    lines = text.split("\n")
-    noise = [False] * len(lines)
-    kinds = []  # pseudo-path: an entry or a line, short or not
-    for i, line in enumerate(lines):
-        s = line.strip()
-        entry = s.startswith("- ")
-        plain = s[2:].strip() if entry else s
-        kinds.append(("li" if entry else "p", bool(plain) and _short(plain)))
-        if not plain:
-            continue
-        crumbs = CRUMB.match(plain) and all(0 < len(x.split()) <= 4 and x.strip(" []")[:1].isupper() for x in re.split(r" (?:>|»|\||/|·|›|→) ", plain))
-        if crumbs or i in listed or phrased(plain) >= COVERED:
-            noise[i] = True
-    # runs of short entries: a path with hardly any text and no punctuation
-    i = 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and kinds[j] == ("li", True):
-            j += 1
-        if j - i >= 2 or (j - i == 1 and ((i and noise[i - 1]) or (j < len(lines) and noise[j]))):
-            for k in range(i, j):
-                noise[k] = True
-        i = max(j, i + 1)
-    # short lines between noise
-    for i, (kind, short) in enumerate(kinds):
-        if kind == "p" and short and not noise[i] and (i and noise[i - 1]) and (i + 1 < len(lines) and noise[i + 1]):
-            noise[i] = True
-    return [i for i, x in enumerate(noise) if x and lines[i].strip()]
-
-
-def section_noise(sections: DataFrame, words: DataFrame) -> DataFrame:
-    """``row_key, line_no, unit_md5`` of the noise lines of sections (id, text)."""
-    rows = sections.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("id").isNotNull()).select("id", "text").distinct()
+def pseudo_path(line: str) -> tuple[str, int]:
+    """The text of a line, and its pseudo-path as a number."""
+    plain = " ".join(line.split())
+    entry = plain.startswith("- ")
+    plain = plain[2:] if entry else plain
+    n = len(plain.split())
+    return plain, (0 if n <= 5 else 1 if n <= 12 else 2) + 3 * entry + 6 * (SENTENCE_END.search(plain) is not None) + 12 * (SIGNS.search(plain) is not None) + 24 * crumbs(plain)
+
+
+PATHS = 48
+
+
+def path_odds(listed: dict[int, int], others: dict[int, dict[int, int]]) -> list[float]:
+    """Log odds of noise by pseudo-path, from its lines in the lexicon and a histogram of the word odds of the others.
+
+    The share of noise among the others is what makes itself likely: the fixed point of the mean chance of a line to be
+    noise, given the share and its words (expectation maximisation). Without any evidence a line is none.
+    """
+    out = []
+    for path in range(PATHS):
+        known, bins = listed.get(path, 0), others.get(path, {})
+        n = known + sum(bins.values())
+        odds = math.log((known + 1) / (n - known + 2 * PRIOR)) if n else 0.0
+        for _ in range(1000):
+            mean = known + sum(c / (1 + math.exp(-max(-50.0, min(50.0, odds + (x + 0.5) * BIN)))) for x, c in bins.items())
+            after = math.log((mean + 1) / (n - mean + 2 * PRIOR)) if n else 0.0
+            odds, before = after, odds
+            if abs(odds - before) < 1e-6:
+                break
+        out.append(odds)
+    return out
+
+
+LINES = "row_key string, row bigint, line int, hash bigint, path int, odds float, md5 binary"
+
+
+def section_lines(sections: DataFrame, odds: np.ndarray) -> DataFrame:
+    """One row a line of sections (id, text) that is not empty: masked hash, pseudo-path, odds of its words, digest."""
+    shipped = sections.sparkSession.sparkContext.broadcast(odds)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shipped.value
+        memo: dict[str, tuple] = {}
         for batch in batches:
-            ids, hashes, numbers = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = []
+            for key, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for i, line in enumerate(text.split("\n")):
-                    plain = " ".join(line.split())
-                    plain = plain[2:] if plain.startswith("- ") else plain
-                    if plain:
-                        ids.append(key)
-                        hashes.append(hashed(plain))
-                        numbers.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32())], names=["row", "hash", "line"])
-
-    keyed = rows.withColumn("row", F.xxhash64("id", "text"))
-    lines = keyed.select("row", "text").mapInArrow(split, "row bigint, hash bigint, line int")
-    hits = lines.join(words, "hash", "left_semi").groupBy("row").agg(F.collect_set("line").alias("listed"))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, numbers, digests = [], [], []
-            for key, text, listed in zip(*(c.to_pylist() for c in batch.columns)):
-                found = noise_lines(text, set(listed or ()))
-                if found:
-                    own = text.split("\n")
-                    for i in found:
-                        ids.append(key)
-                        numbers.append(i)
-                        digests.append(md5(" ".join(own[i].split())))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(digests, pa.string())], names=["row_key", "line_no", "unit_md5"])
-
-    return keyed.join(hits, "row", "left").select("id", "text", "listed").mapInArrow(mark, "row_key string, line_no int, unit_md5 string")
+                    found = memo.get(line)
+                    if found is None:
+                        plain, path = pseudo_path(line)
+                        if not plain:
+                            continue
+                        found = hashed(plain), path, float(weights[list(word_buckets(plain))].sum()), digest(" ".join(line.split()))
+                        if len(memo) < 50_000:
+                            memo[line] = found
+                    out.append((key, row, i, *found))
+            columns = zip(*out) if out else [[]] * 7
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row_key", "row", "line", "hash", "path", "odds", "md5"])
+
+    rows = sections.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("id").isNotNull())
+    return rows.select("id", F.xxhash64("id", "text").alias("row"), "text").mapInArrow(split, LINES)
+
+
+def section_noise(sections: DataFrame, words: DataFrame, odds: np.ndarray) -> DataFrame:
+    """``row_key, md5`` of the noise lines of sections (id, text); ``words`` are the hashes of the lexicon."""
+    known = words.withColumn("listed", F.lit(True))
+    lines = checkpoint(section_lines(sections, odds).join(known, "hash", "left").select("row_key", "row", "line", "path", "odds", "md5", F.coalesce("listed", F.lit(False)).alias("listed")))
+    known_lines: dict[int, int] = {}
+    others: dict[int, dict[int, int]] = {}
+    at = F.when(~F.col("listed"), F.floor(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("odds"))) / BIN).cast("int"))
+    for r in lines.groupBy("path", at.alias("at")).count().collect():  # at most 100 / BIN rows a pseudo-path
+        if r["at"] is None:
+            known_lines[r["path"]] = r["count"]
+        else:
+            others.setdefault(r["path"], {})[r["at"]] = r["count"]
+    ratio = path_odds(known_lines, others)
+    score = F.col("odds") + F.element_at(F.array(*map(F.lit, ratio)), F.col("path") + 1)
+    # lines far below the threshold cannot be lifted by their neighbours; lines of the lexicon are noise anyway
+    scored = lines.withColumn("score", F.when(F.col("listed"), F.greatest(score, F.lit(1.0))).otherwise(score))
+    sure = scored.where("score > 0").select("row_key", "md5")
+    near = scored.where(F.col("score") > 0).select("row", F.explode(F.array(F.col("line") - 1, F.col("line") + 1)).alias("line"), (SMOOTH * F.col("score")).alias("lift"))
+    lifted = scored.where("score <= 0").join(near.groupBy("row", "line").agg(F.sum("lift").alias("lift")), ["row", "line"])
+    return sure.union(lifted.where("score + lift > 0").select("row_key", "md5"))
 
 
 def found(pages: DataFrame, sections: DataFrame) -> DataFrame:
@@ -508,12 +507,11 @@ def found(pages: DataFrame, sections: DataFrame) -> DataFrame:
     Null and empty pages and texts, and rows with a null key, give no row; repeated rows count once; of different
     pages with one id each gives its units.
     """
-    pages = pages.where(F.col("html").isNotNull() & (F.length("html") > 0) & F.col("id").isNotNull()).select("id", "html").distinct()
-    units = checkpoint(page_units(pages))
-    words = checkpoint(lexicon(units))
-    small = words.count() * 16 <= BROADCAST_BYTES
-    words = F.broadcast(words) if small else words
-    kept = units.select("id", F.explode(F.arrays_zip("hash", "keep", "md5")).alias("u")).where("u.keep").select("id", "u.hash", "u.md5")
-    main = kept.join(words, "hash", "left_anti").select(F.lit("page_main").alias("kind"), F.col("id").alias("row_key"), F.col("md5").alias("unit_md5"))
-    noise = section_noise(sections, words).select(F.lit("section_noise").alias("kind"), "row_key", "unit_md5")
-    return main.union(noise).distinct()
+    pages = pages.where(F.col("html").isNotNull() & (F.length("html") > 0) & F.col("id").isNotNull()).select("id", "html")
+    units = checkpoint(page_units(distinct_rows(pages)))
+    words, n = counted(lexicon(units))
+    words = F.broadcast(words) if n * 16 <= BROADCAST_BYTES else words
+    kept = units.where("bucket IS NULL").select("id", F.explode(F.arrays_zip("hash", "keep", "md5")).alias("u")).where("u.keep").select(F.col("id").alias("row_key"), "u.hash", "u.md5")
+    main = kept.join(words, "hash", "left_anti").select(F.lit("page_main").alias("kind"), "row_key", "md5")
+    rest = section_noise(sections, words, word_odds(units)).select(F.lit("section_noise").alias("kind"), "row_key", "md5")
+    return main.union(rest).distinct().select("kind", "row_key", F.lower(F.hex("md5")).alias("unit_md5"))
