@@ -1,12 +1,17 @@
 """Parent-child links to full hierarchies: path, depth, root, descendants, loops.
 
-Every node keeps one parent link, its primary one. The links form a weighted disjoint-set forest: a node points to
-the top of its tree, and its offset to the top (with the nodes between) is carried along. Partitions first combine
-the links that they hold; the tops that still point into other partitions form a much smaller link table, which is
-merged again on half as many partitions, and so on down to one task of checked size (``MERGE_ROWS``). Where the rest
-is larger than that, pointer doubling over the shared table takes its place, in as many joins as the logarithm of the
-depth. The levels are then expanded downwards: the path of a node is that of its top and the nodes between.
-
+A table with at most one parent a node is a weighted disjoint-set forest: a node points to the top of its tree, and
+its offset, the number of links to the top, is carried along (``forest``). Partitions first combine the links that they
+hold; then the partitions' tables are merged by pointing each unfinished node beyond its top, in as many joins as the
+logarithm of the longest chain. A link that closes a chain shows as a node met again on its own chain.
+
+Roots and loops over all links come from such merges too (``contraction``): nodes with one parent are merged into the
+tree above them, so that only nodes with several parents, and the links between their trees, are left. That is repeated
+on the remaining graph, until the rest fits one task of checked size (``REST_ROWS``) or nothing is merged any more; a link
+from a tree to its own top closes a loop, whose nodes are found by climbing from the link's tail. A larger core in which
+every node has several parents, if there is one, is coloured.
+
+Paths follow one primary parent a node, and are materialised last, by doubling the piece of path above each node.
 A primary link can lead into a loop although another parent leads to a root. Such nodes take over the first
 alternative parent that is already under a root, until nothing changes; what is left has no root at all.
 """
@@ -17,20 +22,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.session import BROADCAST_BYTES, checkpoint, counted, sized, total_cores
 
-#: Links (or edges) that one task may merge; about 200 bytes of a worker's memory each.
+#: Links that one task may hold to list what is below nodes; about 200 bytes of a worker's memory each.
 MERGE_ROWS = 1_000_000
-#: Links so few that one task merges them at once, without levels.
-FEW_ROWS = 100_000
-#: Links so few that one task lists what is below all nodes.
+#: Links between trees that the last merge takes into one task, and links so few that one task lists what is below all nodes.
+REST_ROWS = 100_000
 SMALL_ROWS = 1_000
 
-LINK = "node string, ptr string, via array<string>"
-TREE = "node string, top string, via array<string>, looped boolean"
+TREE = "node string, top string, offset bigint, low string, looped boolean"
 
 
 def title(c: Column | str) -> Column:
@@ -51,104 +54,134 @@ def near(df: DataFrame, rows: int, strings: int) -> DataFrame:
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Combine the links of one partition: find with path compression, offsets kept as the nodes between."""
-    link: dict[str, tuple[str, list]] = {}
+    """Combine the links of one partition: find with path compression, offsets added up.
+
+    ``low`` is the lowest name on the chain, the node itself left out. Chains that close are looped.
+    """
+    link: dict[str, str] = {}
     for batch in batches:
-        link.update(zip(batch["node"], zip(batch["ptr"], map(list, batch["via"]))))
-    done: dict[str, tuple[str | None, list, bool]] = {}
+        link.update(zip(batch["node"], batch["ptr"]))
+    done: dict[str, tuple[str, int, str, bool]] = {}
     for start in link:
         chain, on, node = [], set(), start
         while node in link and node not in done and node not in on:
             chain.append(node)
             on.add(node)
-            node = link[node][0]
-        if node in on:  # the chain came back to itself
-            done.update((x, (None, [], True)) for x in chain)
+            node = link[node]
+        if node in on:  # a link closes the chain
+            done.update((x, (node, 0, node, True)) for x in chain)
             continue
-        top, via, looped = done.get(node, (node, [], False)) if node in link else (node, [], False)
-        below = node
+        top, offset, low, looped = done.get(node, (node, 0, node, False))
         for x in reversed(chain):
-            if looped:
-                done[x] = (None, [], True)
-                continue
-            via = [*via, below, *link[x][1]] if below != top else [*via, *link[x][1]]
-            done[x] = (top, via, False)
-            below = x
+            offset, low = offset + 1, min(low, link[x])
+            done[x] = (top, offset, low, looped)
     rows = list(done.items())
     for a in range(0, len(rows), 10_000):
         part = rows[a : a + 10_000]
-        yield pd.DataFrame({"node": [k for k, _ in part], "top": [v[0] for _, v in part], "via": [v[1] for _, v in part], "looped": [v[2] for _, v in part]})
+        yield pd.DataFrame({"node": [k for k, _ in part], **{c: [v[i] for _, v in part] for i, c in enumerate(("top", "offset", "low", "looped"))}})
 
 
-def _double(links: DataFrame) -> DataFrame:
-    """All tops by pointer doubling."""
-    state = links.select("node", F.col("ptr").alias("top"), "via", F.lit(False).alias("looped"))
-    while True:
-        state = checkpoint(state)
-        other = state.select(F.col("node").alias("o_node"), F.col("top").alias("o_top"), F.col("via").alias("o_via"), F.col("looped").alias("o_looped"))
-        step = state.where("NOT looped").join(other, F.col("top") == F.col("o_node"), "left")
-        hit = F.col("o_node").isNotNull()
-        via = F.when(hit & F.col("o_top").isNotNull(), F.concat("o_via", F.array("top"), "via")).otherwise(F.col("via"))
-        moved = step.select(
-            "node", F.when(hit, F.col("o_top")).otherwise(F.col("top")).alias("top"), via.alias("via"),
-            F.coalesce("o_looped", F.lit(False)).alias("looped"), hit.alias("moved"),
-        ).withColumn("looped", F.col("looped") | (F.col("top") == F.col("node")) | F.array_contains("via", F.coalesce("top", F.lit(""))))
-        moved = checkpoint(
-            moved.withColumn("top", F.when(~F.col("looped"), F.col("top"))).withColumn("via", F.when(F.col("looped"), F.array().cast("array<string>")).otherwise(F.col("via")))
-        )
-        state = state.where("looped").unionByName(moved.drop("moved"))
-        if not moved.where("moved AND NOT looped").limit(1).count():
-            return checkpoint(state)
-
+def forest(links: DataFrame) -> DataFrame:
+    """``node, top, offset, looped`` of every node of ``links`` (node, ptr: at most one link a node).
 
-def forest(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
-    """``node, top, via, looped`` of every node of ``links`` (node, ptr, via: at most one link a node).
-
-    ``top`` is the end of the chain, ``via`` the nodes strictly between top and node, from the top down; nodes whose
-    chain runs into a loop have ``looped`` and no top. Empty links give no row.
+    ``top`` is the end of the chain and ``offset`` the number of links to it; where the chain runs into a loop, ``looped``
+    is set and top and offset mean nothing. Empty links give no row.
     """
-    most = merge_rows or MERGE_ROWS
     spark = links.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    levels: list[DataFrame] = []
-    todo, rows = counted(links.select("node", "ptr", "via"))
-    if rows <= min(FEW_ROWS, most):
-        parts = 1
-    while rows:
-        if parts == 1 and rows > most:
-            levels.append(_double(todo))
-            break
-        merged = checkpoint(todo.repartition(parts, "node").mapInPandas(_merge, TREE))
-        levels.append(merged)
-        if parts == 1:
-            break
-        # the tops that are nodes of this level again: links of the next, smaller one
-        tops = merged.where("NOT looped").select(F.col("top").alias("node")).distinct()
-        # a top that is already known to loop ends its chain there
-        todo, left = counted(merged.join(tops, "node", "left_semi").select("node", F.col("top").alias("ptr"), "via", "looped").where("NOT looped").drop("looped"))
-        parts = 1 if left <= most // 4 else max(1, parts // 2)
-        rows = left
+    state = checkpoint(links.select("node", "ptr").repartition(parts, "node").mapInPandas(_merge, TREE).withColumn("done", F.col("looped")))
+    loops = state.limit(0).select(F.col("low").alias("least"))
+    while True:
+        above = state.select(F.col("node").alias("o_node"), F.col("top").alias("o_top"), F.col("offset").alias("o_offset"), F.col("low").alias("o_low"), F.col("looped").alias("o_looped"), F.col("done").alias("o_done"))
+        met = state.where("NOT done").join(above, F.col("top") == F.col("o_node"), "left")
+        low, looped = F.least("low", "o_low"), F.coalesce("o_looped", F.lit(False))
+        moved = met.select(
+            "node", F.coalesce("o_top", "top").alias("top"), (F.col("offset") + F.coalesce("o_offset", F.lit(0))).alias("offset"), low.alias("low"),
+            (looped | (low == F.col("node"))).alias("looped"), F.coalesce("o_done", F.lit(True)).alias("done"), (low == F.col("node")).alias("closed"),
+        )
+        seen = Observation()
+        state = checkpoint(
+            state.where("done").withColumn("closed", F.lit(False)).unionByName(moved.withColumn("done", F.col("done") | F.col("looped")))
+            .observe(seen, F.count_if(~F.col("done")).alias("left"), F.count_if("closed").alias("closed"))
+        )
+        left = seen.get["left"]
+        if seen.get["closed"]:  # the lowest nodes of loops: whoever has one on its chain runs into a loop
+            loops = checkpoint(loops.union(state.where("closed").select(F.col("node").alias("least"))))
+            again = Observation()
+            state = state.join(loops, F.col("low") == F.col("least"), "left").withColumn("looped", F.col("looped") | F.col("least").isNotNull())
+            state = checkpoint(state.withColumn("done", F.col("done") | F.col("looped")).drop("least").observe(again, F.count_if(~F.col("done")).alias("left")))
+            left = again.get["left"]
+        state = state.drop("closed")
         if not left:
-            break
-    if not levels:
-        return spark.createDataFrame([], TREE)
-    known, rows, size = levels[-1], 0, 0
-    if len(levels) > 1:
-        known, rows, size = sized(known, ["node", "top", "via"])
-    for level in reversed(levels[:-1]):
-        up = known.select(F.col("node").alias("u_node"), F.col("top").alias("u_top"), F.col("via").alias("u_via"), F.col("looped").alias("u_looped"))
-        loops = level.where("looped").select(F.col("node").alias("l_node"))
-        met = level.join(near(up, rows, size), F.col("top") == F.col("u_node"), "left")
-        met = met.join(loops, F.col("top") == F.col("l_node"), "left")
-        looped = F.col("looped") | F.coalesce("u_looped", F.lit(False)) | F.col("l_node").isNotNull()
-        known, rows, size = sized(
-            met.select(
-                "node", looped.alias("looped"),
-                F.when(~looped, F.coalesce("u_top", "top")).alias("top"),
-                F.when(looped, F.array().cast("array<string>")).when(F.col("u_node").isNull(), F.col("via")).otherwise(F.concat("u_via", F.array("top"), "via")).alias("via"),
-            ).select("node", "top", "via", "looped"), ["node", "top", "via"]
+            return state.select("node", "top", "offset", "looped")
+
+
+def _on_loops(links: DataFrame) -> DataFrame:
+    """``node, part``: the nodes of ``links`` (node, ptr) that lie on closed chains, with the lowest name on theirs.
+
+    Every chain of ``links`` has to run into a loop. Pointers are doubled until they reach the same nodes as before,
+    which are those on loops, and until the lowest names do not change any more.
+    """
+    state = links.select("node", F.col("ptr").alias("top"), F.col("ptr").alias("low"))
+    reached = None
+    while True:
+        other = state.select(F.col("node").alias("o_node"), F.col("top").alias("o_top"), F.col("low").alias("o_low"))
+        seen = Observation()
+        low = F.least("low", "o_low")
+        state = checkpoint(
+            state.join(other, F.col("top") == F.col("o_node")).select("node", F.col("o_top").alias("top"), low.alias("new"), (low < F.col("low")).alias("lower"))
+            .withColumnRenamed("new", "low").observe(seen, F.count_if("lower").alias("lower"))
         )
-    return known
+        on, n = counted(state.select("top").distinct())
+        state = state.drop("lower")
+        if n == reached and not seen.get["lower"]:
+            return state.join(on.select(F.col("top").alias("node")), "node", "left_semi").select("node", F.col("low").alias("part"))
+        reached = n
+
+
+def _climb(tails: DataFrame, links: DataFrame) -> DataFrame:
+    """``tails`` (node, part) and all nodes above them by ``links`` (node, ptr), which have no loop there."""
+    found, rows = counted(tails.distinct())
+    jump = links
+    while rows:
+        step = found.join(jump, "node").select(F.col("ptr").alias("node"), "part")
+        found = checkpoint(found.union(step).distinct())
+        jump, rows = counted(jump.join(jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("beyond")), "ptr").select("node", F.col("beyond").alias("ptr")))
+    return found
+
+
+def contraction(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(cycle, trees)``: ``node, part`` of the nodes on closed chains of ``links`` (parent, child; other than to
+    themselves), by strongly connected part; and ``node, top, looped`` of the nodes with one parent."""
+    edges, rows = counted(links.where("parent <> child").select("parent", "child").distinct())
+    if not rows:
+        empty = edges.select(F.col("parent").alias("node"), F.col("child").alias("part"))
+        return empty, empty.select("node", F.col("part").alias("top"), F.lit(False).alias("looped"))
+    by_child = checkpoint(edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")))
+    single = by_child.where("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("ptr"))
+    several = by_child.where("n > 1").select("child")
+    trees = checkpoint(forest(single).select("node", "top", "looped"))
+    # links into nodes with several parents, from the tops of the trees that they leave; a loop of nodes with one
+    # parent each cannot be entered, and nothing leads to a root
+    tails = edges.join(several, "child", "left_semi").join(trees.withColumnsRenamed({"node": "parent"}), "parent", "left")
+    tails = tails.where("NOT coalesce(looped, false)").select(F.col("parent").alias("tail"), F.coalesce("top", "parent").alias("top"), "child")
+    tails, n_tails = counted(tails.join(several.select(F.col("child").alias("top")), "top", "left_semi"))
+    looped, n_looped = counted(single.join(trees.where("looped").select("node"), "node", "left_semi"))
+    cycle = _on_loops(looped) if n_looped else edges.select(F.col("parent").alias("node"), F.col("child").alias("part")).limit(0)
+    if not n_tails:
+        return cycle, trees
+    between, n_between = counted(tails.where("top <> child").select(F.col("top").alias("parent"), "child").distinct())
+    if n_between <= REST_ROWS:  # the last merge
+        inner = between.coalesce(1).mapInPandas(_tarjan, "node string, part string")
+    elif n_between == rows:  # no node has one parent, none is a root: the core
+        inner = _coloured(between)
+    else:
+        inner = contraction(between)[0]
+    inner = checkpoint(inner)
+    of_top, of_child = inner.select(F.col("node").alias("top"), F.col("part").alias("top_part")), inner.select(F.col("node").alias("child"), F.col("part").alias("child_part"))
+    closing = tails.join(of_top, "top", "left").join(of_child, "child", "left").where("top = child OR top_part = child_part").select(F.col("tail").alias("node"), F.coalesce("top_part", "top").alias("part"))
+    straight = single.join(looped.select("node"), "node", "left_anti")
+    return checkpoint(cycle.union(_climb(closing, straight)).union(inner).distinct()), trees
 
 
 def graph(categories: DataFrame | None, edges: DataFrame, parent: str = "parent_category", child: str = "child_category", ord: str | None = "ord", name: str = "category_title") -> tuple[DataFrame, DataFrame]:
@@ -162,47 +195,68 @@ def graph(categories: DataFrame | None, edges: DataFrame, parent: str = "parent_
     return checkpoint(nodes.where("node IS NOT NULL").distinct()), links
 
 
-def hierarchy(nodes: DataFrame, links: DataFrame, merge_rows: int | None = None) -> DataFrame:
+def _paths(links: DataFrame) -> DataFrame:
+    """``node, path``: of every node of ``links`` (node, ptr; without loops) the nodes from the top of its chain to itself."""
+    state = links.select("node", F.col("ptr").alias("top"), F.array("ptr").alias("above"), F.lit(True).alias("moved"))
+    while True:
+        other = state.select(F.col("node").alias("o_node"), F.col("top").alias("o_top"), F.col("above").alias("o_above"))
+        seen = Observation()
+        step = state.where("moved").join(other, F.col("top") == F.col("o_node"), "left").select(
+            "node", F.coalesce("o_top", "top").alias("top"), F.when(F.col("o_node").isNull(), F.col("above")).otherwise(F.concat("o_above", "above")).alias("above"), F.col("o_node").isNotNull().alias("moved")
+        )
+        state = checkpoint(state.where("NOT moved").unionByName(step).observe(seen, F.count_if("moved").alias("left")))
+        if not seen.get["left"]:
+            return state.select("node", F.concat("above", F.array("node")).alias("path"))
+
+
+def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root, depth, path`` of every node; null root, depth and path for nodes that no root leads to.
 
-    The path follows primary links: the parent of lowest (ord, title) whose own chain leads to a root without the
-    node's loop. Nodes without parents are their own root with depth 0; a link to itself counts as a parent.
-    Isolated nodes, deep chains, several parents, repeated links and empty tables need no special care.
+    The path follows primary links: the parent of lowest (ord, title), unless its chain leads into a loop; then the
+    node, or the first one above it that has a parent under a root, takes the first such parent. Nodes without parents
+    are their own root with depth 0; a link to itself counts as a parent. Isolated nodes, deep chains, several parents,
+    repeated links and empty tables need no special care.
     """
     having = links.select(F.col("child").alias("node")).distinct()
-    roots = nodes.join(having, "node", "left_anti")
-    proper = links.where("parent <> child")
-    primary = proper.groupBy("child").agg(F.min(F.struct("ord", "parent")).alias("first")).select(
-        F.col("child").alias("node"), F.col("first.parent").alias("ptr"), F.array().cast("array<string>").alias("via")
-    )
-    none = F.array().cast("array<string>")
-    rooted = roots.select("node", F.col("node").alias("root"), F.array("node").alias("path"))
-    todo = primary
+    roots = checkpoint(nodes.join(having, "node", "left_anti"))
+    proper = checkpoint(links.where("parent <> child"))
+    first = lambda df: df.groupBy("child").agg(F.min(F.struct("ord", "parent")).alias("first")).select(F.col("child").alias("node"), F.col("first.parent").alias("ptr"))
+    todo = primary = checkpoint(first(proper))
+    rooted, parents = roots, primary.limit(0)
     while True:
-        trees = forest(todo, merge_rows)
-        tops = trees.where("NOT looped")
+        trees = forest(todo).where("NOT looped")
         # a top is a true root, or was rooted in an earlier round, or (only a link to itself) leads nowhere
-        base = rooted.select(F.col("node").alias("t"), F.col("root"), F.col("path").alias("head"))
-        used = base.join(tops.select(F.col("top").alias("t")).distinct(), "t", "left_semi")
-        used, n_used, used_size = sized(used, ["t", "root", "head"])
-        fresh = tops.join(near(used, n_used, used_size), F.col("top") == F.col("t")).select("node", "root", F.concat("head", "via", F.array("node")).alias("path"))
-        rooted = checkpoint(rooted.unionByName(fresh))
+        fresh = checkpoint(trees.join(rooted.select(F.col("node").alias("top")), "top", "left_semi").select("node"))
+        parents = parents.unionByName(todo.join(fresh, "node", "left_semi"))
+        rooted = checkpoint(rooted.unionByName(fresh).distinct())
         # alternatives of what is left that are under a root now
         left, n_left = counted(nodes.join(rooted, "node", "left_anti"))
         if not n_left:
             break
         again = proper.join(left.withColumnRenamed("node", "child"), "child", "left_semi")
-        anchors, n_anchors = counted(
-            again.join(rooted.select(F.col("node").alias("parent")), "parent", "left_semi")
-            .groupBy("child").agg(F.min(F.struct("ord", "parent")).alias("first"))
-            .select(F.col("child").alias("node"), F.col("first.parent").alias("ptr"), none.alias("via"))
-        )
+        anchors, n_anchors = counted(first(again.join(rooted.select(F.col("node").alias("parent")), "parent", "left_semi")))
         if not n_anchors:
             break
-        rest = primary.join(left, "node", "left_semi").join(anchors, "node", "left_anti")
-        todo = anchors.unionByName(rest)
-    path = rooted.select("node", "root", (F.size("path") - 1).alias("depth"), "path")
-    return nodes.join(path, "node", "left")
+        todo = anchors.unionByName(primary.join(left, "node", "left_semi").join(anchors, "node", "left_anti"))
+    path = roots.select("node", F.array("node").alias("path")).unionByName(_paths(checkpoint(parents)))
+    return nodes.join(path.select("node", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path"), "node", "left")
+
+
+def rootless(nodes: DataFrame, links: DataFrame, trees: DataFrame) -> DataFrame:
+    """``node``: nodes that no chain of links leads to from a node without parents; ``trees`` are those of ``contraction``.
+
+    Only the tops of trees are walked, from the roots on, along the links between trees.
+    """
+    top = nodes.join(trees, "node", "left").select("node", F.coalesce("top", "node").alias("top"), F.coalesce("looped", F.lit(False)).alias("looped"))
+    top = checkpoint(top)
+    having = links.select(F.col("child").alias("top")).distinct()
+    frontier, rows = counted(top.where("NOT looped").select("top").distinct().join(having, "top", "left_anti"))
+    between = checkpoint(links.join(trees.select("node").withColumnRenamed("node", "child"), "child", "left_anti").join(top.where("NOT looped").withColumnRenamed("node", "parent"), "parent").select("top", "child").where("top <> child").distinct())
+    reached = frontier
+    while rows:
+        frontier, rows = counted(between.join(frontier, "top", "left_semi").select(F.col("child").alias("top")).distinct().join(reached, "top", "left_anti"))
+        reached = checkpoint(reached.union(frontier)) if rows else reached
+    return top.join(reached.withColumn("ok", F.lit(True)), "top", "left").where("looped OR ok IS NULL").select("node")
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -294,7 +348,7 @@ def closure(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
 
 
 def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes on closed chains among the edges of one task."""
+    """``node, part`` of the nodes on closed chains among the edges of one task."""
     frames = [b for b in batches if len(b)]
     if not frames:
         return
@@ -341,17 +395,17 @@ def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if w == v:
                             break
                     if len(part) > 1:
-                        found += part
-    yield pd.DataFrame({"node": [names[x] for x in found]}, dtype="object")
+                        found += [(names[x], names[v]) for x in part]
+    yield pd.DataFrame(found, columns=["node", "part"], dtype="object")
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
-    """Nodes on closed chains by colouring: exact at any size, in rounds of joins."""
+    """``node, part`` of the nodes on closed chains by colouring, in rounds of joins."""
     found = None
     while True:
         edges = checkpoint(edges)
         if not edges.limit(1).count():
-            return found if found is not None else edges.select(F.col("parent").alias("node")).limit(0)
+            return found if found is not None else edges.select(F.col("parent").alias("node"), F.col("child").alias("part")).limit(0)
         nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
         colour = checkpoint(nodes.withColumn("colour", F.col("node")))
         while True:  # the highest name that leads to a node
@@ -374,32 +428,17 @@ def _coloured(edges: DataFrame) -> DataFrame:
                 break
             reached = checkpoint(reached.union(new))
         core = inside.join(reached.withColumnRenamed("node", "parent"), "parent", "left_semi").join(reached.withColumnRenamed("node", "child"), "child", "left_semi")
-        loops = core.select(F.col("parent").alias("node")).distinct()
+        loops = core.select(F.col("parent").alias("node"), F.col("colour").alias("part")).distinct()
         found = loops if found is None else found.union(loops)
         found = checkpoint(found.distinct())
         gone = reached
         edges = edges.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(gone.withColumnRenamed("node", "child"), "child", "left_anti")
 
 
-def cycle_nodes(links: DataFrame, merge_rows: int | None = None) -> DataFrame:
-    """``node``: every node on a closed chain of links, a link to itself too.
-
-    Nodes without a link in or out cannot lie on one and are trimmed in rounds while that still shrinks the edges
-    by a tenth or more than one task may hold is left; the core goes to one task of checked size, or is coloured.
-    """
-    most = merge_rows or MERGE_ROWS
+def cycle_nodes(links: DataFrame) -> DataFrame:
+    """``node``: every node on a closed chain of links, a link to itself too."""
     own = links.where("parent = child").select(F.col("child").alias("node"))
-    edges, rows = counted(links.where("parent <> child").select("parent", "child"))
-    while rows:
-        ins, outs = edges.select(F.col("child").alias("parent")).distinct(), edges.select(F.col("parent").alias("child")).distinct()
-        before = rows
-        edges, rows = counted(edges.join(ins, "parent", "left_semi").join(outs, "child", "left_semi"))
-        if rows <= most // 10 or rows > 0.9 * before:
-            break
-    if not rows:
-        return own.distinct()
-    core = edges.coalesce(1).mapInPandas(_tarjan, "node string") if rows <= most else _coloured(edges)
-    return own.union(core).distinct()
+    return own.union(contraction(links)[0].select("node")).distinct()
 
 
 def bad_paths(categories: DataFrame, links: DataFrame, path: str = "path", name: str = "category_title") -> DataFrame:
@@ -422,11 +461,12 @@ def bad_paths(categories: DataFrame, links: DataFrame, path: str = "path", name:
     return wrong.union(broken).distinct()
 
 
-def found(categories: DataFrame, edges: DataFrame, merge_rows: int | None = None) -> DataFrame:
+def found(categories: DataFrame, edges: DataFrame) -> DataFrame:
     """``category_title, kind`` with kinds cycle, rootless and path."""
     nodes, links = graph(categories, edges)
-    tree = hierarchy(nodes, links, merge_rows)
-    parts = {"cycle": cycle_nodes(links, merge_rows), "rootless": tree.where("root IS NULL").select("node"), "path": bad_paths(categories, links)}
+    cycle, trees = contraction(links)
+    own = links.where("parent = child").select(F.col("child").alias("node"))
+    parts = {"cycle": own.union(cycle.select("node")), "rootless": rootless(nodes, links, trees), "path": bad_paths(categories, links)}
     out = None
     for kind, df in parts.items():
         one = df.select(F.col("node").alias("category_title"), F.lit(kind).alias("kind"))

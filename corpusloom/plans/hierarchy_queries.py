@@ -54,4 +54,10 @@ UNION SELECT node, 'rootless' FROM nodes WHERE node NOT IN (SELECT node FROM roo
 UNION SELECT node, 'path' FROM stored WHERE len(steps) = 0 OR coalesce(steps[-1] <> node, true) OR steps[1] NOT IN (SELECT node FROM roots)
 UNION SELECT node, 'path' FROM broken"""
 
-SQL: dict[str, str] = {"p3_found": P3_FOUND_SQL}
+P3_DESCENDANTS_SQL = f"""WITH RECURSIVE ends AS (SELECT {_norm('parent_category')} AS parent, {_norm('child_category')} AS child FROM category_edges),
+links AS (SELECT DISTINCT parent, child FROM ends WHERE parent IS NOT NULL AND child IS NOT NULL),
+size_ AS (SELECT count(DISTINCT child) AS n FROM links),
+reach AS (SELECT parent AS a, child AS b, 1 AS d FROM links UNION SELECT r.a, l.child, r.d + 1 FROM reach r JOIN links l ON l.parent = r.b WHERE r.d < (SELECT n FROM size_))
+SELECT a AS node, b AS descendant, min(d)::INT AS distance FROM reach GROUP BY a, b"""
+
+SQL: dict[str, str] = {"p3_found": P3_FOUND_SQL, "p3_descendants": P3_DESCENDANTS_SQL}

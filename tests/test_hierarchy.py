@@ -26,9 +26,11 @@ def brute(nodes, links):
     return {n for n in nodes if n in reach([n])}, nodes - roots - reach(roots), roots
 
 
-@pytest.mark.parametrize("merge_rows", [None, 5])
-def test_random_graph(spark, merge_rows):
-    rng = random.Random(11)
+@pytest.mark.parametrize("seed,rest", [(11, None), (12, None), (12, 2)])
+def test_random_graph(spark, monkeypatch, seed, rest):
+    if rest:  # more levels, and the colouring of the core
+        monkeypatch.setattr(H, "REST_ROWS", rest)
+    rng = random.Random(seed)
     names = [f"N {i}" for i in range(40)]
     pairs = {(rng.choice(names), rng.choice(names)) for _ in range(38)} | {("N 0", "N 1"), ("N 1", "N 2"), ("N 2", "N 1"), ("N 3", "N 3")}
     forms = [str, lambda x: f" Category:{x} ", lambda x: x.replace(" ", "_")]
@@ -40,16 +42,15 @@ def test_random_graph(spark, merge_rows):
     all_ = {x for p in want for x in p} | {"lonely", "N_1", "N_0", "N_5", "N_6"}
     cycle, rootless, roots = brute(all_, want)
     assert {r.node for r in nodes.collect()} == all_
-    assert {r.node for r in H.cycle_nodes(links, merge_rows).collect()} == cycle
-    tree = {r.node: r for r in H.hierarchy(nodes, links, merge_rows).collect()}
+    assert {r.node for r in H.cycle_nodes(links).collect()} == cycle
+    tree = {r.node: r for r in H.hierarchy(nodes, links).collect()}
     assert {n for n, r in tree.items() if r.root is None} == rootless and set(tree) == all_
     for n, r in tree.items():
         if r.root is not None:
             assert r.path[0] == r.root and r.root in roots and r.path[-1] == n and r.depth == len(r.path) - 1 and len(set(r.path)) == len(r.path)
             assert all(p in want for p in zip(r.path, r.path[1:]))
-    if merge_rows is None:
-        kinds = {(r.category_title, r.kind) for r in H.found(cats, edges).collect()}
-        assert kinds == {(n, "cycle") for n in cycle} | {(n, "rootless") for n in rootless} | {("N_1", "path"), ("N_0", "path")}
+    kinds = {(r.category_title, r.kind) for r in H.found(cats, edges).collect()}
+    assert kinds == {(n, "cycle") for n in cycle} | {(n, "rootless") for n in rootless} | {("N_1", "path"), ("N_0", "path")}
 
 
 def test_deep_chain_and_descendants(spark):
