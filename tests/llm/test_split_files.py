@@ -37,5 +37,38 @@ def test_bytes_and_texts_have_the_same_boundaries():
     signs = ["a", "é", "水", "𝛼", " ", "\u00a0", "\u3000", "\n", "\r", ".", "!", "”", ")", "。", "？"]
     for _ in range(300):
         text = "".join(rng.choice(signs) for _ in range(30))
-        at, kind = S.boundaries(text, 0, len(text), True, True)
+        at, kind = S.boundaries(text, 0, len(text))
         assert S.byte_boundaries(text.encode(), 0, len(text.encode())) == ([len(text[:p].encode()) for p in at], kind)
+
+
+@pytest.mark.parametrize("range_bytes", [1, 7, 64])
+def test_ranges_do_not_matter(spark, tmp_path, range_bytes):
+    """Runs of white space and of sentence marks that are longer than a range keep their kinds."""
+    rng = random.Random(8)
+    parts = ["Wort", "水素。", "é", " " * 90, "\n" + " " * 80 + "\n", "end." + "”" * 40 + " ", ")", "　"]
+    text = "".join(rng.choice(parts) for _ in range(30))
+    path = tmp_path / "x.txt"
+    path.write_bytes(text.encode())
+    key = lambda p: (p.piece_no, p.start, p.end, p.forced, p.piece)
+    one, many = (sorted(map(key, S.split_files(spark, ["file:" + str(path)], 120, 10, range_bytes=n).collect())) for n in (1 << 20, range_bytes))
+    assert one == many and b"".join(text.encode()[a:b] for a, b in [(one[0][1], one[0][2]), *((x[2], y[2]) for x, y in zip(one, one[1:]))]) == text.encode()
+
+
+def test_text_ranges_do_not_matter(monkeypatch):
+    rng = random.Random(9)
+    parts = ["Wort", "水素。", " " * 30, "\n" + " " * 40 + "\n", "end." + "”" * 30 + " ", "x" * 50]
+    for _ in range(30):
+        text = "".join(rng.choice(parts) for _ in range(25))
+        want = S.plan(text, 60, 5)
+        for size in (1, 5, 64):
+            monkeypatch.setattr(S, "RANGE_CHARS", size)
+            assert S.plan(text, 60, 5) == want
+        monkeypatch.undo()
+
+
+def test_a_stitch_holds_little():
+    stitch, most = S.Stitch(100, 10), 0
+    for _ in range(500):
+        stitch.feed(list(range(6, 600, 6)), [1] * 99, 600)
+        most = max(most, len(stitch.at))
+    assert most < 250 and len(stitch.finish()) == 1
