@@ -29,6 +29,8 @@ from corpusloom.session import BROADCAST_BYTES, checkpoint, counted, sized, tota
 
 #: Links that one task may hold to list what is below nodes; about 200 bytes of a worker's memory each.
 MERGE_ROWS = 1_000_000
+#: Links of a partition that are combined first.
+PART_ROWS = 500_000
 #: Links between trees that the last merge takes into one task, and links so few that one task lists what is below all nodes.
 REST_ROWS = 100_000
 SMALL_ROWS = 1_000
@@ -41,6 +43,7 @@ def title(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     strip = lambda x: F.regexp_replace(x, r"(?U)^[\s_]+|[\s_]+$", "")
     plain = strip(F.regexp_replace(strip(c), r"^Category:", ""))
+    plain = F.when(c.rlike(r"(?U)^[\s_]|[\s_]$|^Category:"), plain).otherwise(c)  # most have nothing to strip
     return F.nullif(F.translate(plain, " ", "_"), F.lit(""))
 
 
@@ -81,14 +84,14 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": [k for k, _ in part], **{c: [v[i] for _, v in part] for i, c in enumerate(("top", "offset", "low", "looped"))}})
 
 
-def forest(links: DataFrame) -> DataFrame:
-    """``node, top, offset, looped`` of every node of ``links`` (node, ptr: at most one link a node).
+def forest(links: DataFrame, rows: int) -> DataFrame:
+    """``node, top, offset, looped`` of every node of the ``rows`` ``links`` (node, ptr: at most one link a node).
 
     ``top`` is the end of the chain and ``offset`` the number of links to it; where the chain runs into a loop, ``looped``
     is set and top and offset mean nothing. Empty links give no row.
     """
     spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(total_cores(spark), -(-rows // PART_ROWS))
     state = checkpoint(links.select("node", "ptr").repartition(parts, "node").mapInPandas(_merge, TREE).withColumn("done", F.col("looped")))
     loops = state.limit(0).select(F.col("low").alias("least"))
     while True:
@@ -160,7 +163,7 @@ def contraction(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_child = checkpoint(edges.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent")))
     single = by_child.where("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("ptr"))
     several = by_child.where("n > 1").select("child")
-    trees = checkpoint(forest(single).select("node", "top", "looped"))
+    trees = checkpoint(forest(single, rows).select("node", "top", "looped"))
     # links into nodes with several parents, from the tops of the trees that they leave; a loop of nodes with one
     # parent each cannot be entered, and nothing leads to a root
     tails = edges.join(several, "child", "left_semi").join(trees.withColumnsRenamed({"node": "parent"}), "parent", "left")
@@ -187,7 +190,7 @@ def contraction(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def graph(categories: DataFrame | None, edges: DataFrame, parent: str = "parent_category", child: str = "child_category", ord: str | None = "ord", name: str = "category_title") -> tuple[DataFrame, DataFrame]:
     """``(nodes, links)``: all titles, and distinct parent, child with the lowest ord. Links with a null end are left out."""
     at = F.min(F.coalesce(F.col(ord), F.lit((1 << 62)))) if ord else F.lit(0)
-    ends = edges.select(title(parent).alias("parent"), title(child).alias("child"), *([ord] if ord else []))
+    ends = checkpoint(edges.select(title(parent).alias("parent"), title(child).alias("child"), *([ord] if ord else [])))
     links = checkpoint(ends.where("parent IS NOT NULL AND child IS NOT NULL").groupBy("parent", "child").agg(at.alias("ord")))
     nodes = ends.select(F.col("parent").alias("node")).union(ends.select("child"))
     if categories is not None:
@@ -221,10 +224,11 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = checkpoint(nodes.join(having, "node", "left_anti"))
     proper = checkpoint(links.where("parent <> child"))
     first = lambda df: df.groupBy("child").agg(F.min(F.struct("ord", "parent")).alias("first")).select(F.col("child").alias("node"), F.col("first.parent").alias("ptr"))
-    todo = primary = checkpoint(first(proper))
+    primary, n_todo = counted(first(proper))
+    todo = primary
     rooted, parents = roots, primary.limit(0)
     while True:
-        trees = forest(todo).where("NOT looped")
+        trees = forest(todo, n_todo).where("NOT looped")
         # a top is a true root, or was rooted in an earlier round, or (only a link to itself) leads nowhere
         fresh = checkpoint(trees.join(rooted.select(F.col("node").alias("top")), "top", "left_semi").select("node"))
         parents = parents.unionByName(todo.join(fresh, "node", "left_semi"))
@@ -237,6 +241,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
         anchors, n_anchors = counted(first(again.join(rooted.select(F.col("node").alias("parent")), "parent", "left_semi")))
         if not n_anchors:
             break
+        n_todo = n_left
         todo = anchors.unionByName(primary.join(left, "node", "left_semi").join(anchors, "node", "left_anti"))
     path = roots.select("node", F.array("node").alias("path")).unionByName(_paths(checkpoint(parents)))
     return nodes.join(path.select("node", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path"), "node", "left")
@@ -446,11 +451,10 @@ def bad_paths(categories: DataFrame, links: DataFrame, path: str = "path", name:
 
     An empty path and one with a null or empty entry are no chains.
     """
-    stored = categories.where(F.col(path).isNotNull()).select(title(name).alias("node"), F.transform(path, title).alias("steps")).where("node IS NOT NULL").distinct()
-    stored = stored.withColumn("key", F.xxhash64("node", "steps"))
+    stored = categories.where(F.col(path).isNotNull()).select(title(name).alias("node"), F.transform(path, title).alias("steps")).where("node IS NOT NULL")
     ends_well = (F.size("steps") > 0) & F.coalesce(F.element_at(F.when(F.size("steps") > 0, F.col("steps")), -1) == F.col("node"), F.lit(False)) & ~F.exists("steps", lambda x: x.isNull())
-    wrong = stored.where(~ends_well).select("node")
-    good = checkpoint(stored.where(ends_well))
+    stored = checkpoint(stored.withColumn("well", ends_well))
+    wrong, good = stored.where("NOT well").select("node"), stored.where("well")
     starts = good.select("node", F.col("steps")[0].alias("child"))
     with_parent = links.select("child").distinct()
     wrong = wrong.union(starts.join(with_parent, "child", "left_semi").select("node"))
