@@ -36,13 +36,16 @@ BAD_INTRO = (
     r"\b(?:the\s+)?(?:equation|formula|expression|reaction|relationship|relation|law)\s+(?:is|are|becomes|can be written|can be expressed)\s*$|"
     r"\b(?:as follows|it reads)\s*$)"
 )
-# The notes in brackets that clean text leaves out, and the spacing around signs.
-_NOTES = r"\[\s*(?:\d+(?:\s*[,-]\s*\d+)*|note\s+\d+|citation needed|clarification needed|dead link|failed verification)\s*\]"
-
-_SPACING = [
-    (r"(?U)\s+([,.;:!?%)\]])", "$1"), (r"(?U)([(\[])\s+", "$1"), (r"(?U)\s+([_^]\{)", "$1"),
-    (r"(?U)([_^]\{)\s+", "$1"), (r"(?U)\s+\}", "}"),
+# The rules of clean text in their order, as pattern and replacement: references, notes in brackets, edit
+# marks, the spacing around signs, ordinals. They are the same for columns, parsers and SQL.
+SPACING = [(r"\s+([,.;:!?%)\]])", r"\1"), (r"([(\[])\s+", r"\1"), (r"\s+([_^]\{)", r"\1"), (r"([_^]\{)\s+", r"\1"), (r"\s+\}", "}")]
+CLEANING = [
+    (r"(?i)</?ref\b[^>]*>", " "),
+    (r"(?i)\[\s*(?:\d+(?:\s*[,-]\s*\d+)*|note\s+\d+|citation needed|clarification needed|dead link|failed verification)\s*\]", " "),
+    (r"(?i)\[\s*edit\s*\]", " "), (r"(?i)\bedit\s*$", ""), *SPACING, (r"\b([A-Za-z])\s+th\b", r"\1th"),
 ]
+# Tags and attributes that an extractor left in a text, and names of sections that are no text.
+FRAGMENTS = r"(?i)<\s*/?\s*(?:a|table|tr|td|th|div|span|p|li|ul|ol|ref)\b[^>]*>|href=|(?-i:\bmw-[a-z])|\[\s*edit\s*\]"
 # Remarks of editors and tag remnants that an answer's text leaves out.
 _REMARKS = r"(?iU)\[\s*(?:citation needed|clarification needed|page needed|dead link|failed verification|not specific enough to verify|unreliable source)\s*\]"
 _REMNANTS = r"\bmw-[a-z]|edit\s*\]|edit\b|\bster\b|\bsect\b"
@@ -60,18 +63,23 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column | str) -> Column:
-    """Character references decoded; texts without ``&`` do not leave the JVM's value unchanged."""
-    return _unescape(_c(c))
+    """Character references decoded; texts without ``&`` stay in the JVM."""
+    return F.coalesce(_unescape(F.when(F.contains(_c(c), F.lit("&")), _c(c))), _c(c))
 
 
-def tidy_spaces(c: Column | str) -> Column:
-    """No space before closing or after opening signs, and around braces of ``_{}`` and ``^{}``."""
+def apply_rules(c: Column | str, rules: list[tuple[str, str]]) -> Column:
+    """The rules, one after the other, with Unicode classes."""
     out = _c(c)
-    for a, b in _SPACING:
-        out = F.regexp_replace(out, a, b)
+    for a, b in rules:
+        out = F.regexp_replace(out, "(?U)" + a, b.replace("\\", "$"))
     return out
 
 
+def tidy_spaces(c: Column | str) -> Column:
+    """No space before closing or after opening signs, and around braces of ``_{}`` and ``^{}``."""
+    return apply_rules(c, SPACING)
+
+
 def squeeze(c: Column | str) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.regexp_replace(F.regexp_replace(_c(c), r"(?U)\s+", " "), "^ | $", "")
@@ -80,11 +88,7 @@ def squeeze(c: Column | str) -> Column:
 def clean_text(c: Column | str, entities: bool = True) -> Column:
     """Article text without references, edit marks and odd spacing."""
     out = unescape(c) if entities else _c(c)
-    out = F.translate(F.replace(out, F.lit(" "), F.lit(" ")), "​", "")
-    for a, b in ((r"(?i)</?ref\b[^>]*>", " "), (rf"(?iU){_NOTES}", " "), (r"(?iU)\[\s*edit\s*\]", " "), (r"(?iU)\bedit\s*$", "")):
-        out = F.regexp_replace(out, a, b)
-    out = F.regexp_replace(tidy_spaces(out), r"(?U)\b([A-Za-z])\s+th\b", "$1th")
-    return squeeze(out)
+    return squeeze(apply_rules(F.translate(F.replace(out, F.lit("\xa0"), F.lit(" ")), "\u200b", ""), CLEANING))
 
 
 def latex_alt(c: Column | str) -> Column:
@@ -102,6 +106,7 @@ def match_key(c: Column | str, entities: bool = True) -> Column:
 
 def heading_text(inner: Column | str) -> Column:
     """Text of a heading from its inner HTML: that of its headline span if it has one."""
+    # fixed value
     pattern = r'(?is)<span[^>]*class="[^"]*mw-headline[^"]*"[^>]*>(.*?)</span>'
     own = F.when(F.regexp_like(_c(inner), F.lit(pattern)), F.regexp_extract(_c(inner), pattern, 1)).otherwise(_c(inner))
     return clean_text(F.regexp_replace(own, "<[^>]+>", " "))
@@ -130,6 +135,7 @@ def bytes_slice(html: Column | str, start: Column, end: Column) -> Column:
 def enclosing_section(html: Column | str, start: Column) -> Column:
     """Name of the H2 section around a byte offset: ``summary`` before the first, null inside a left-out section."""
     before = F.make_valid_utf8(F.substring(_c(html).cast("binary"), F.lit(1), F.greatest(F.lit(0), start)).cast("string"))
+    # fixed value: the pattern of a heading
     heads = F.regexp_extract_all(before, F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1))
     last = heading_text(F.when(F.size(heads) > 0, F.element_at(heads, -1)).otherwise(F.lit("")))
     low = F.lower(last)
@@ -139,6 +145,7 @@ def enclosing_section(html: Column | str, start: Column) -> Column:
 def answer_text(fragment: Column | str) -> Column:
     """Clean text of a long-answer fragment; null if it holds a table, is short, or breaks off before a formula."""
     c = _c(fragment)
+    # fixed values: the patterns of what is left out, and of formula images
     out = F.regexp_replace(c, r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r'(?is)<sup[^>]*class="[^"]*reference[^"]*".*?</sup>', " ")
     out = F.regexp_replace(out, r'(?is)<span[^>]*class="[^"]*mw-editsection[^"]*".*?</span>', " ")
