@@ -108,19 +108,29 @@ def final_selection(candidate_rows: DataFrame, reviews: DataFrame, least_score:
 def neighbourhood(nodes: DataFrame, links: DataFrame, members: DataFrame, most: int = 12) -> DataFrame:
     """Up to ``most`` parents, children and articles of each node, in order of (ord, name), and how many there are.
 
-    The cut is the feature: a sample for a prompt. It is applied in the aggregate's ordered list.
+    The cut is the feature: a sample for a prompt.
     """
 
     def side(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
         from pyspark.sql import Window
 
         one = df.where(f"{key} IS NOT NULL AND {value} IS NOT NULL").groupBy(key, value).agg(F.min("ord").alias("ord"))
-        # rank within the node, so that a hot node sends at most its best rows into the list
-        ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("ord", value))).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-        listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", value)))), lambda x: x[value])
-        return ranked.groupBy(F.col(key).alias("node")).agg(listed.alias(name), F.max("n").alias(f"n_{name}"))
+        # the limit on the rank is applied before the shuffle too, so that a hot node sends ``most`` rows a task
+        best = one.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("ord", value))).where(F.col("rank") <= most)
+        listed = best.groupBy(F.col(key).alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias(name))
+        return listed.join(one.groupBy(F.col(key).alias("node")).agg(F.count("*").alias(f"n_{name}")), "node")
 
     out = nodes.select("node").distinct()
     for part in (side(links, "child", "parent", "parents"), side(links, "parent", "child", "children"), side(members, "parent", "article", "articles")):
         out = out.join(part, "node", "left")
     return out
+
+
+def root_category(categories: DataFrame, preferred: str = "Chemistry", name: str = "category_title") -> DataFrame:
+    """One row ``node``: the preferred title if it is there, else the smallest title of depth 0, else the smallest of all.
+
+    An empty table gives no row.
+    """
+    order = F.when(F.col(name) == preferred, 0).when(F.col("depth") == 0, 1).otherwise(2)
+    best = categories.where(F.col(name).isNotNull()).agg(F.min(F.struct(order.alias("o"), F.col(name).alias("node"))).alias("best"))
+    return best.where("best IS NOT NULL").select("best.node")

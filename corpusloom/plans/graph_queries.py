@@ -139,9 +139,14 @@ def normalize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def root_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root that a graph is walked from, if none is named: the preferred title, a title of depth 0, or any (H6)."""
+    return graph.root_category(load(spark, sf_dir, "categories"))
+
+
 QUERIES = {f.__name__: f for f in (
     bfs_levels, bfs_first_parent, bfs_depth_metrics, gated_reachability, branch_summary, candidate_tristate, candidate_plan_summary,
-    final_articles, neighbourhood_sample, link_reason_codes, metadata_left_join, normalize_titles,
+    final_articles, neighbourhood_sample, link_reason_codes, metadata_left_join, normalize_titles, root_choice,
 )}
 
 
@@ -248,6 +253,8 @@ SELECT n.node, coalesce(parents, '') AS parents, coalesce(children, '') AS child
   coalesce(n_parents, 0) AS n_parents, coalesce(n_children, 0) AS n_children, coalesce(n_articles, 0) AS n_articles
 FROM (SELECT parent AS node FROM links UNION SELECT child FROM links) n
 LEFT JOIN parents USING (node) LEFT JOIN children USING (node) LEFT JOIN articles USING (node)""",
+    "root_choice": """SELECT category_title AS node FROM categories WHERE category_title IS NOT NULL
+ORDER BY CASE WHEN category_title = 'Chemistry' THEN 0 WHEN depth = 0 THEN 1 ELSE 2 END, category_title LIMIT 1""",
     "link_reason_codes": f"""WITH known AS (SELECT DISTINCT {_norm('category_title')} AS parent FROM categories),
 rows_ AS (SELECT DISTINCT * FROM article_members), m AS (SELECT *, {_norm('parent_category')} AS parent FROM rows_)
 SELECT CASE WHEN m.parent IS NULL THEN 'no_parent' WHEN k.parent IS NULL THEN 'unresolved' WHEN is_redirect THEN 'redirect' WHEN article_url IS NULL THEN 'no_url'
