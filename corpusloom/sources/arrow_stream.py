@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import gzip
 import io
 from collections.abc import Iterator
@@ -10,6 +9,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpusloom.sources import files
+
+# What errors say that only concern the end marks after the last batch.
+FOOTERS = (
+    "Expected to be able to read", "Invalid flatbuffers message", "Invalid IPC stream: negative continuation token",
+    "Tried reading schema message, was null or length 0",
+)
+
 
 class Chained(io.RawIOBase):
     """The unpacked bytes of several gzip files, one after the other."""
@@ -25,7 +32,8 @@ class Chained(io.RawIOBase):
             if self._file is None:
                 if not self._paths:
                     return 0
-                self._file = gzip.open(self._paths.pop(0), "rb")
+                system, inner = files.of(self._paths.pop(0))
+                self._file = gzip.GzipFile(fileobj=system.open_input_file(inner))
             n = self._file.readinto(buffer)
             if n:
                 return n
@@ -34,16 +42,20 @@ class Chained(io.RawIOBase):
 
 
 def batches(paths: list[str]) -> Iterator[pa.RecordBatch]:
-    """The batches of the stream; a broken footer is tolerated once a row was seen."""
-    reader = pa.ipc.open_stream(io.BufferedReader(Chained(paths), 1 << 20))
+    """The batches of the stream; a broken footer after all parts were read is tolerated once a row was seen.
+
+    Any other error, and a broken place before the end, is raised: rows after it would be lost.
+    """
+    source = io.BufferedReader(Chained(paths), 1 << 20)
+    reader = pa.ipc.open_stream(source)
     seen = 0
     while True:
         try:
             batch = reader.read_next_batch()
         except StopIteration:
             return
-        except (pa.ArrowInvalid, OSError):
-            if seen:
+        except (pa.ArrowInvalid, OSError) as e:
+            if seen and not source.peek(1) and any(x in str(e) for x in FOOTERS):
                 return
             raise
         seen += batch.num_rows
@@ -52,7 +64,7 @@ def batches(paths: list[str]) -> Iterator[pa.RecordBatch]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema) -> None:
-        self.paths, self.names = sorted(glob.glob(options["path"])), [f.name for f in schema.fields]
+        self.paths, self.names = files.listed(options["path"]), [f.name for f in schema.fields]
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # the parts are one stream; repartition right after

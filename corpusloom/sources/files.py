@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from fnmatch import fnmatch
@@ -54,3 +55,23 @@ def reader(path: str) -> Iterator[Callable[[int, int], bytes]]:
     system, inner = of(path)
     with system.open_input_file(inner) as file:
         yield lambda start, stop: file.read_at(max(0, stop - start), start)
+
+
+def write(path: str, data: bytes) -> None:
+    """Writes a file under another name first and moves it, so that no reader sees a part of it."""
+    system, inner = of(path)
+    folder, _, name = inner.rpartition("/")
+    if folder:
+        system.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp" if folder else f".{name}.{uuid.uuid4().hex}.tmp"
+    with system.open_output_stream(part) as out:
+        out.write(data)
+    system.move(part, inner)
+
+
+def claim(path: str, data: bytes) -> bool:
+    """Makes a marker file; false if it was there. Of two that come at the same moment, both may be told true."""
+    if exists(path):
+        return False
+    write(path, data)
+    return True

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources import files
+
 _LONG, _STR, _INT, _BOOL = T.LongType(), T.StringType(), T.IntegerType(), T.BooleanType()
 
 
@@ -23,7 +25,7 @@ MEMBERS = _schema(parent_category=_STR, article_title=_STR, article_url=_STR, pa
 
 def resolve(path: str) -> str:
     """The plain or the gzipped file of a name; an error if there are both or none."""
-    plain, packed = os.path.exists(path), os.path.exists(path + ".gz")
+    plain, packed = files.exists(path), files.exists(path + ".gz")
     if plain and packed:
         raise ValueError(f"{path} and {path}.gz both exist")
     if not plain and not packed:
@@ -43,7 +45,7 @@ def read_lenient(spark: SparkSession, path: str, schema: T.StructType, key: str)
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An empty table if the file is missing."""
-    return read_strict(spark, path, schema) if os.path.exists(path) else spark.createDataFrame([], schema)
+    return read_strict(spark, path, schema) if files.exists(path) else spark.createDataFrame([], schema)
 
 
 def read_numbered(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -76,7 +78,7 @@ def load_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Nodes (last row wins) and distinct links (first ord) of the four files of a graph folder."""
     from corpusloom.operators.ordinal import latest_wins
 
-    read = lambda name, schema: read_strict(spark, resolve(os.path.join(folder, name)), schema)
+    read = lambda name, schema: read_strict(spark, resolve(folder.rstrip("/") + "/" + name), schema)
     categories, articles = read("categories.jsonl", CATEGORIES), read("articles.jsonl", ARTICLES)
     edges, members = read("category_edges.jsonl", EDGES), read("article_members.jsonl", MEMBERS)
     number = lambda df: df.withColumn("__n", F.monotonically_increasing_id())  # noqa: E731  file order
@@ -91,3 +93,37 @@ def load_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def split_folders(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder a split."""
     df.write.mode(mode).partitionBy("split").json(path, ignoreNullFields=False)
+
+
+def write_summary(figures: dict, path: str) -> None:
+    """One JSON object with sorted keys, written whole or not at all."""
+    files.write(path, (json.dumps(figures, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
+
+
+def write_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes ``<article_id>.html`` for each page (title, url, html); returns ``article_id, written``.
+
+    Of several pages of one (title, revision) the first by url counts; pages without url, title or html are left out;
+    files that exist are kept.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from corpusloom.functions import titles
+    from corpusloom.operators.ordinal import first_wins
+
+    rows = pages.where("coalesce(url, '') <> '' AND coalesce(html, '') <> '' AND title IS NOT NULL").select(titles.article_id("title", "url").alias("article_id"), "url", "html")
+    once = first_wins(rows, ["article_id"], ["url"]).select("article_id", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            written = []
+            for name, html in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{folder.rstrip('/')}/{name}.html"
+                written.append(not files.exists(path))
+                if written[-1]:
+                    files.write(path, html.encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(written, pa.bool_())], names=["article_id", "written"])
+
+    return once.mapInArrow(run, "article_id string, written boolean")

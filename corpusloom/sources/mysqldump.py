@@ -9,7 +9,6 @@ Each file is one partition (gzip cannot be split); a dump is meant to be read on
 
 from __future__ import annotations
 
-import glob
 import gzip
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from corpusloom.sources import files
+
 # Backslash escapes of MySQL strings.
 ESCAPES = {ord("0"): 0, ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("Z"): 26}
 QUOTE, BACKSLASH, OPEN, CLOSE, COMMA = b"'"[0], b"\\"[0], b"("[0], b")"[0], b","[0]
@@ -94,13 +95,13 @@ class _Reader(DataSourceReader):
         self.path, self.table = options["path"], options["table"]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(self.path))] or [_File("")]
+        return [_File(p) for p in files.listed(self.path)] or [_File("")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not partition.path:
             return
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        with opener(partition.path, "rb") as file:
+        system, inner = files.of(partition.path)
+        with system.open_input_file(inner) as raw, gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else raw as file:
             for i, values in enumerate(rows_of(file, self.table)):
                 yield partition.path, i, [None if v is None else v.decode("utf-8", "replace") for v in values]
 

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.curate import pending
 from corpusloom.operators.ordinal import latest_wins
+from corpusloom.sources import files
 
 
 def done_ids(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
     """Keys already written to a Parquet output; none if it does not exist yet."""
-    return spark.read.schema(schema).parquet(path).select(key).distinct() if os.path.exists(path) else spark.createDataFrame([], T.StructType([T.StructField(key, schema[key].dataType)]))
+    return spark.read.schema(schema).parquet(path).select(key).distinct() if files.exists(path) else spark.createDataFrame([], T.StructType([T.StructField(key, schema[key].dataType)]))
 
 
 def run_stream(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: str, order: str, work=None, files_per_batch: int = 8) -> int:
@@ -32,9 +31,9 @@ def run_stream(spark: SparkSession, source: str, schema: T.StructType, target: s
 
         fresh = pending(first_wins(batch, [key], [order]), done_ids(batch.sparkSession, target, key, schema), key)
         out = work(fresh) if work else fresh
-        before = out.count()
-        out.write.mode("append").parquet(target)
-        added += before
+        seen = Observation()  # counted in the pass that writes: ``work`` runs once
+        out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target)
+        added += seen.get["n"]
 
     query = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
