@@ -81,7 +81,7 @@ def profile(df: DataFrame, id: str, article: str, text: str) -> DataFrame:
     return df.agg(
         F.count("*").alias("rows_"), F.count_distinct(id).alias("unique_ids"), F.count_distinct(article).alias("article_ids"),
         (F.count(id) - F.count_distinct(id)).alias("duplicate_ids"), F.count_if(F.coalesce(F.trim(text), F.lit("")) == "").alias("empty_text"),
-        F.count_if(low.contains("isbn") | low.contains("doi:")).alias("reference_like"), F.count_if(low.contains("http")).alias("external_like"),
+        F.count_if(F.col(text).rlike(T.FRAGMENTS)).alias("bad_fragments"), F.count_if(low.contains("isbn") | low.contains("doi:")).alias("reference_like"), F.count_if(low.contains("http")).alias("external_like"),
         F.min(F.char_length(text)).alias("min_len"), F.max(F.char_length(text)).alias("max_len"), F.sum(F.char_length(text)).alias("total_len"),
     )
 
@@ -129,3 +129,14 @@ def resolve_questions(questions: DataFrame, sections: DataFrame, pages: DataFram
         ("kept", F.col("doc_id").isNotNull()), ("dropped_section_only", F.col("only_dropped")),
     ], "unmapped")
     return out.select("id", reason.alias("reason"), "doc_id", "kind")
+
+
+def in_seeded_order(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """``df`` in an order that looks random and is the same for the same seed and keys; ``limit`` on it is a sample."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key).cast("string")), key)
+
+
+def preferred_first(df: DataFrame, key: str, preferred: DataFrame) -> DataFrame:
+    """``df`` with the rows whose key is in ``preferred`` (key) first, then by key."""
+    known = preferred.select(key).distinct().withColumn("__preferred", F.lit(True))
+    return df.join(known, key, "left").orderBy(F.col("__preferred").asc_nulls_last(), key).drop("__preferred")

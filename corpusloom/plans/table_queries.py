@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gzip
-import os
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -229,14 +227,6 @@ def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text
 
 
-def containment_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections whose beginning is contained in exactly one corpus text of the same title (E16, C13); ``containment_texts`` takes whole texts."""
-    rows = load(spark, sf_dir, "article_sections").where("text IS NOT NULL AND title IS NOT NULL").select("id", "title", "text").distinct()
-    answers = rows.groupBy("id", "title").agg(F.min("text").alias("text")).select(F.col("id").alias("answer_id"), "title", X.match_key(F.left("text", F.lit(80)), entities=False).alias("answer_key"))
-    docs = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND title IS NOT NULL").select(F.col("_id").alias("doc_id"), "title", X.match_key("text", entities=False).alias("doc_key")).distinct()
-    return curate.containment(answers, docs, "title")
-
-
 def containment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections whose whole text is contained in exactly one corpus text of the same title."""
     rows = load(spark, sf_dir, "article_sections").where("text IS NOT NULL AND title IS NOT NULL").select("id", "title", "text").distinct()
@@ -246,26 +236,14 @@ def containment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.containment(answers, docs, "title").select(F.col("answer_id.id").alias("answer_id"), "answer_id.title", "doc_id").distinct()
 
 
-def bad_intro_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that break off, made from the first words of the corpus texts (C16, D7); ``bad_intro_texts`` judges the texts."""
-    rows = load(spark, sf_dir, "corpus").where("text IS NOT NULL AND _id IS NOT NULL").select("_id", F.regexp_extract("text", r"^((?:[^ ]+ ){0,8}[^ ]*)", 1).alias("start"), F.regexp_extract("text", r"^((?:[^ ]+ ){0,4}[^ ]*)", 1).alias("shorter")).distinct()
-    return rows.select("_id", "start", X.is_bad_intro("start").alias("bad"), X.is_bad_intro("shorter").alias("bad_shorter"))
-
-
 def bad_intro_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each corpus text breaks off at its end and is removed (C16, D7); null texts stay."""
     rows = load(spark, sf_dir, "corpus").select("_id", "text").distinct()
     return rows.select("_id", X.is_bad_intro("text").alias("bad"))
 
 
-def clean_text_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned ASCII documents (C11); SQL engines agree on classes of ASCII only."""
-    rows = load(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x09\x0a\x0d\x20-\x7e]*$") & ~F.contains("text", F.lit("&")))
-    return rows.select("doc_id", X.clean_text("text", entities=False).alias("clean"))
-
-
 def clean_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document cleaned, with entities decoded (C11); ``clean_text_ascii`` is its part that SQL can follow."""
+    """Every document cleaned, with entities decoded (C11)."""
     return load(spark, sf_dir, "documents").select("doc_id", X.clean_text("text").alias("clean"))
 
 
@@ -309,12 +287,12 @@ def sorted_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Retrieval
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     vectors = load(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0")  # the stated query set
     ranked = checkpoint(retrieval.topk(queries, vectors, 100))
-    same = queries.select(F.col("vec_id").alias("query_id"), "label").join(vectors.select(F.col("vec_id").alias("doc_id"), "label"), "label")
-    return ranked, same.where("query_id <> doc_id").select("query_id", "doc_id")
+    of = lambda df: df.select(F.col("vec_id").alias("id"), "label")
+    return ranked, of(queries), of(vectors)
 
 
 def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +302,7 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics of every query."""
-    return retrieval.ranking_metrics(*_ranked(spark, sf_dir))
+    return retrieval.metrics_by_label(*_ranked(spark, sf_dir))
 
 
 def ranking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,11 +349,7 @@ def _folder(spark: SparkSession) -> str:
     from corpusloom.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
-    while base.startswith("//"):
-        base = base[1:]
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix="work-", dir=base)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/work-{uuid.uuid4().hex}"
 
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +357,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.sources import jsonl
 
     rows = load(spark, sf_dir, "categories").select("category_title", "page_id", "depth", "path", "is_redirect", "page_len")
-    path = os.path.join(_folder(spark), "categories")
+    path = _folder(spark) + "/categories"
     jsonl.write(rows, path, gz=True)
     return jsonl.read_strict(spark, path, rows.schema).select("category_title", "page_id", "depth", F.concat_ws("|", "path").alias("path"), "is_redirect", "page_len")
 
@@ -398,7 +372,7 @@ def mysqldump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = F.lit("0")
     fields = F.concat_ws(",", F.col("page_id").cast("string"), zero, quote("article_title"), F.lit("''"), zero, F.when(F.col("is_redirect"), "1").otherwise("0"), zero, F.lit("0.5"), F.lit("'2017'"), F.lit("NULL"), zero, number("page_len"))
     lines = rows.select(F.concat(F.lit("("), fields, F.lit(")")).alias("t")).groupBy(F.spark_partition_id().alias("p"), F.pmod(F.xxhash64("t"), F.lit(64)).alias("b")).agg(F.collect_list("t").alias("l"))
-    folder = os.path.join(_folder(spark), "dump")
+    folder = _folder(spark) + "/dump"
     lines.select(F.concat(F.lit("INSERT INTO `page` VALUES "), F.concat_ws(",", "l"), F.lit(";")).alias("value")).write.text(folder, compression="gzip")
     back = mysqldump.pages(mysqldump.scan(spark, f"{folder}/*.gz", "page"))
     return back.agg(F.count("*").alias("rows_"), F.count_distinct("page_id").alias("pages"), F.sum("page_len").alias("total_len"), F.count_if("is_redirect").alias("redirects"), F.count_if(F.col("page_len").isNull()).alias("null_len"), F.sum(F.char_length("title")).alias("title_chars"))
@@ -410,7 +384,7 @@ def incremental_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = _folder(spark)
     rows = load(spark, sf_dir, "topic_decisions").where("id IS NOT NULL").select("id", "ord", "split").distinct()
-    source, target, state = (os.path.join(folder, x) for x in ("in", "out", "state"))
+    source, target, state = (f"{folder}/{x}" for x in ("in", "out", "state"))
     half = F.col("ord") % 2
     for part in (0, 1):
         rows.where(half == part).repartition(4).write.mode("append").parquet(source)
@@ -422,7 +396,7 @@ QUERIES = {f.__name__: f for f in (
     wiki_url_encode, page_url_params, safe_part_keys, clamp_and_normalize_label, json_props, usage_totals, title_semi_join, topic_latest_decision,
     topic_ever_decided, pending_anti_join, missing_decisions, decision_inner_join, first_wins_by_key, section_key_lookup, latest_snapshot, dedup_with_existing,
     dense_query_ids, block_index, answer_filter, qrel_title_match, split_fraction, qrels_histogram, broad_corpus_flags, variant_build, id_set_verification,
-    split_union, containment_match, containment_texts, bad_intro_filter, bad_intro_texts, clean_text_ascii, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
+    split_union, containment_texts, bad_intro_texts, clean_text_all, enclosing_heading, section_blocks, first_success, corpus_profile, sorted_limit,
     sorted_exports, retrieval_topk, ranking_metrics, ranking_summary, leaderboard_rank, family_mean_std, task_correlation, ablation_gain, jsonl_roundtrip,
     mysqldump_scan, incremental_resume,
 )}
@@ -441,7 +415,6 @@ _M = f"m AS (SELECT DISTINCT id, question, {_SPLIT} AS split, source, matching_c
 _LATEST = """latest AS (
   SELECT id, ord, chemistry, coalesce(chemistry AND coalesce(error, '') = '', false) AS accepted FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM (SELECT DISTINCT * FROM topic_decisions) WHERE id IS NOT NULL) WHERE r = 1)"""
-_TIDY = [(r"\s+([,.;:!?%)\]])", r"\1"), (r"([(\[])\s+", r"\1"), (r"\s+([_^]\{)", r"\1"), (r"([_^]\{)\s+", r"\1"), (r"\s+\}", "}")]
 
 
 def _replace(x: str, rules: list[tuple[str, str]]) -> str:
@@ -452,7 +425,7 @@ def _replace(x: str, rules: list[tuple[str, str]]) -> str:
 
 def _match_key(x: str) -> str:
     white = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{0b}]"
-    return _replace(f"lower(coalesce({x}, ''))", [(white + "+", " "), ("^ | $", "")] + [(a.replace(r"\s", white), b) for a, b in _TIDY])
+    return _replace(f"lower(coalesce({x}, ''))", [(white + "+", " "), ("^ | $", "")] + [(a.replace(r"\s", white), b) for a, b in X.SPACING])
 
 
 def _underscore(x: str) -> str:
@@ -499,10 +472,6 @@ _BOARD = """board AS (
   SELECT c_nationkey, c_mktsegment AS task, avg(c_acctbal) AS score, 'family' || (c_nationkey % 5) || '-' || c_nationkey AS model, 'family' || (c_nationkey % 5) AS family
   FROM customer GROUP BY c_nationkey, c_mktsegment)"""
 _STOP = "low IN ({}) OR regexp_matches(low, '^({})')".format(", ".join(f"'{x}'" for x in X.STOP_SECTIONS), "|".join(X.STOP_PREFIXES))
-_CLEAN = [
-    (r"(?i)</?ref\b[^>]*>", " "), (r"(?i)\[\s*(?:\d+(?:\s*[,-]\s*\d+)*|note\s+\d+|citation needed|clarification needed|dead link|failed verification)\s*\]", " "),
-    (r"(?i)\[\s*edit\s*\]", " "), (r"(?i)\bedit\s*$", ""), *_TIDY, (r"\b([A-Za-z])\s+th\b", r"\1th"), (r"\s+", " "), ("^ | $", ""),
-]
 
 
 def _set_report(name: str, a: str, b: str) -> str:
@@ -579,15 +548,9 @@ FROM (SELECT variant, count(DISTINCT m.id) AS queries FROM ids JOIN m USING (id)
 {_set_report('train_dev', "SELECT id FROM m WHERE split IN ('train', 'dev')", 'SELECT id FROM topic_decisions WHERE id IS NOT NULL')} UNION ALL
 {_set_report('documents', 'SELECT id FROM (SELECT unnest(relevant_doc_ids) AS id FROM m) WHERE id IS NOT NULL', 'SELECT _id AS id FROM corpus WHERE _id IS NOT NULL')}""",
     "split_union": f"WITH {_M} SELECT split, source, count(*) AS rows_, count(DISTINCT id) AS ids FROM m WHERE question <> '' AND split IN ('train', 'dev', 'test') GROUP BY ALL",
-    "containment_match": f"""WITH a AS (SELECT id AS answer_id, title, {_match_key('left(min(text), 80)')} AS answer_key FROM article_sections WHERE text IS NOT NULL AND title IS NOT NULL GROUP BY id, title),
-d AS (SELECT DISTINCT _id AS doc_id, title, {_match_key('text')} AS doc_key FROM corpus WHERE text IS NOT NULL AND title IS NOT NULL)
-SELECT answer_id, min(doc_id) AS doc_id FROM a JOIN d USING (title) WHERE length(answer_key) >= 40 AND contains(doc_key, answer_key) GROUP BY answer_id HAVING count(DISTINCT doc_id) = 1""",
-    "bad_intro_filter": rf"""WITH s AS (
-  SELECT DISTINCT _id, regexp_extract(text, '^((?:[^ ]+ ){{0,8}}[^ ]*)', 1) AS start, regexp_extract(text, '^((?:[^ ]+ ){{0,4}}[^ ]*)', 1) AS shorter FROM corpus WHERE text IS NOT NULL AND _id IS NOT NULL)
-SELECT _id, start, regexp_matches({_strip('start')}, '{X.BAD_INTRO}') AS bad, regexp_matches({_strip('shorter')}, '{X.BAD_INTRO}') AS bad_shorter FROM s""",
-    "clean_text_ascii": rf"SELECT doc_id, {_replace('text', _CLEAN)} AS clean FROM documents WHERE regexp_full_match(text, '[\x09\x0a\x0d\x20-\x7e]*') AND NOT contains(text, '&')",
-    "corpus_profile": """SELECT count(*) AS rows_, count(DISTINCT _id) AS unique_ids, count(DISTINCT title) AS article_ids, count(_id) - count(DISTINCT _id) AS duplicate_ids,
-  count(*) FILTER (coalesce(trim(text), '') = '') AS empty_text, count(*) FILTER (contains(lower(text), 'isbn') OR contains(lower(text), 'doi:')) AS reference_like,
+    "bad_intro_texts": rf"SELECT _id, coalesce(regexp_matches({_strip('text')}, '{X.BAD_INTRO}'), false) AS bad FROM (SELECT DISTINCT _id, text FROM corpus)",
+    "corpus_profile": rf"""SELECT count(*) AS rows_, count(DISTINCT _id) AS unique_ids, count(DISTINCT title) AS article_ids, count(_id) - count(DISTINCT _id) AS duplicate_ids,
+  count(*) FILTER (coalesce(trim(text), '') = '') AS empty_text, count(*) FILTER (regexp_matches(text, '{X.FRAGMENTS}')) AS bad_fragments, count(*) FILTER (contains(lower(text), 'isbn') OR contains(lower(text), 'doi:')) AS reference_like,
   count(*) FILTER (contains(lower(text), 'http')) AS external_like, min(length(text)) AS min_len, max(length(text)) AS max_len, CAST(sum(length(text)) AS BIGINT) AS total_len FROM corpus""",
     "sorted_limit": "SELECT DISTINCT category_title, depth FROM categories ORDER BY depth NULLS LAST, category_title LIMIT 25",
     "sorted_exports": f"""WITH {_M}, q AS (SELECT DISTINCT id, unnest(relevant_doc_ids) AS d FROM m)
