@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in the training sample at most, chosen by hash; sentences for each language and chain at most.
-SAMPLE_DOCS, SENTENCES = 6000, 250
+#: Documents in the training sample at most, chosen by hash; different sentences of them, the characters beyond ASCII and
+#: their neighbours in one of these sentences, and sentences for each language and chain, at most.
+SAMPLE_DOCS, SAMPLE_SENTENCES, SENTENCE_CHARS, SENTENCES = 6000, 20_000, 600, 250
 #: Buckets of the hashed bigrams, and the log odds against the best clean class that a chain needs: legacy chains,
 #: and chains from UTF-8, whose strict decodability is itself strong evidence.
 BUCKETS, LEGACY_ODDS, UTF8_ODDS = 1 << 13, 3.0, -6.0
@@ -122,7 +123,7 @@ class Model:
         if found is None:
             scores = self.prior + self.weights[buckets(key)].sum(0, dtype=np.float64)
             odds = scores[self.clean :] - scores[: self.clean].max()
-            found = [(i, float(odds[i])) for i in np.argsort(-odds, kind="stable")[:12].tolist() if odds[i] > UTF8_ODDS]
+            found = [(i, float(odds[i])) for i in np.argsort(-odds, kind="stable").tolist() if odds[i] > UTF8_ODDS]
             if len(self.memo) >= MEMO_ENTRIES:
                 self.memo.clear()
             self.memo[key] = found
@@ -138,8 +139,11 @@ class Model:
         """Log likelihood of a text as clean text per bigram; 0 for ASCII."""
         return self.likely(text) / max(1, len(buckets("\n".join(ODD.findall(text))))) if not text.isascii() else 0.0
 
-    def options(self, text: str, deep: int = 2) -> list[tuple[float, str, str]]:
-        """Valid inversions of a sentence, best first: score, chain, original."""
+    def options(self, text: str) -> list[tuple[float, str, str]]:
+        """Valid inversions of a sentence, best first: score, chain, original.
+
+        What was garbled several times is inverted as often as that makes it likelier; every inversion is shorter.
+        """
         if text.isascii():
             return []
         out = []
@@ -153,8 +157,8 @@ class Model:
             if chain[-1][0] != "utf-8" and self.average(original) < self.average(text) + GAIN:
                 continue  # no nearer to clean text than before
             name, score = " ".join(f"{a}>{b}" for a, b in chain), odds + self.likely(original)
-            if deep and chain[-1][0] == "utf-8":  # garbled once more: only by way of UTF-8
-                more = [x for x in self.options(original, deep - 1) if x[1].endswith(MORE)]
+            if chain[-1][0] == "utf-8" and len(original) < len(text):  # garbled once more: only by way of UTF-8
+                more = [x for x in self.options(original) if x[1].endswith(MORE)]
                 if more and more[0][0] > self.likely(original):
                     out.append((score + more[0][0] - self.likely(original), more[0][1] + " " + name, more[0][2]))
             out.append((score, name, original))
@@ -190,18 +194,24 @@ def _utf8_like(text: str) -> bool:
     return "�" in text or any(right(text, (("utf-8", w),)) for w in ("cp1252", "cp1250", "cp1251", "cp1253", "mac_roman", "cp437", "cp850", "cp932", "gb18030"))
 
 
+def sentences(text: str | None) -> list[str]:
+    """What is learnt from the sentences of a text: their characters beyond ASCII with their neighbours."""
+    return [DIGIT.sub("0", " ".join(ODD.findall(p))) for p in PIECES.split(text or "") if p and not p.isascii()]
+
+
 def fit(sample: list[tuple[str | None, str]]) -> Model:
-    """The classifier from (language or None, text) rows; deterministic for the same rows.
+    """The classifier from (language or None, text) rows; deterministic for the same rows."""
+    return fit_sentences([(lang, key, n) for lang, text in sample for key, n in Counter(sentences(text)).items()])
+
+
+def fit_sentences(rows: list[tuple[str | None, str, int]]) -> Model:
+    """The classifier from (language or None, sentence, count) rows (see ``sentences``).
 
     Sentences that already look garbled are left out, first by strict decodability, then by a first model.
     """
     by: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in sample:
-        for piece in PIECES.split(text):
-            if piece and not piece.isascii():
-                key = DIGIT.sub("0", " ".join(ODD.findall(piece)))
-                by[lang or ""].setdefault(key, 0)
-                by[lang or ""][key] += 1
+    for lang, key, n in rows:
+        by[lang or ""][key] += n
     clean = {lang: Counter({k: n for k, n in keys.items() if not _utf8_like(k)}) for lang, keys in by.items()}
     # a rare sentence that is a garbled form of a frequent one is not clean either
     forms: dict[str, int] = {}
@@ -254,6 +264,27 @@ def _train(clean: dict[str, Counter]) -> Model:
     return Model(np.ascontiguousarray(weights.T.astype(np.float32)), prior, kept)
 
 
+def sample(df: DataFrame, key: str, text: str, lang: str) -> list[tuple[str | None, str, int]]:
+    """The sentences of ``SAMPLE_DOCS`` documents at most; no text goes to the driver, only hashes and short sentences.
+
+    Of more than ``SAMPLE_SENTENCES`` the most frequent ones, none with more than ``SENTENCE_CHARS``: 20 MB at most.
+    """
+    whole = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))
+    pool = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(whole.alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    best = pool.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first()
+    if best is None or best["h"] is None:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(name, k) for name, t in zip(*(c.to_pylist() for c in batch.columns)) for k in sentences(t) if len(k) <= SENTENCE_CHARS]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["lang", "key"])
+
+    rows = pool.where(F.col("h") <= best["h"]).select("lang", "text").mapInArrow(run, "lang string, key string")
+    top = rows.groupBy("lang", "key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "key").limit(SAMPLE_SENTENCES)
+    return [(r["lang"], r["key"], r["n"]) for r in top.collect()]
+
+
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``key``, restored, complete and chains of every document with a garbled passage.
 
@@ -261,9 +292,7 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     (U+FFFD). Null, empty and ASCII texts are clean. Rows with a null key come out with a null key; repeated rows
     repeatedly. The model (under 8 MB, whatever the data) is fitted on ``SAMPLE_DOCS`` documents at most.
     """
-    pool = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.substring(text, 1, 200)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = pool.orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    model = fit([(r["lang"], r["text"]) for r in rows])
+    model = fit_sentences(sample(df, key, text, lang))
     shipped = df.sparkSession.sparkContext.broadcast((model.weights, model.prior, model.chains))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
