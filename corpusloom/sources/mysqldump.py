@@ -10,6 +10,8 @@ Each file is one partition (gzip cannot be split); a dump is meant to be read on
 from __future__ import annotations
 
 import gzip
+import io
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,6 +95,8 @@ class _File(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.table = options["path"], options["table"]
+        self.field = int(options.get("field", "-1"))
+        self.wanted = {None if v is None else v.encode() for v in json.loads(options.get("wanted", "[]"))}
 
     def partitions(self) -> list[InputPartition]:
         return [_File(p) for p in files.listed(self.path)] or [_File("")]
@@ -101,13 +105,15 @@ class _Reader(DataSourceReader):
         if not partition.path:
             return
         system, inner = files.of(partition.path)
-        with system.open_input_file(inner) as raw, gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else raw as file:
+        with system.open_input_file(inner) as raw, gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else io.BufferedReader(raw, 1 << 20) as file:
             for i, values in enumerate(rows_of(file, self.table)):
+                if self.field >= 0 and (self.field >= len(values) or values[self.field] not in self.wanted):
+                    continue  # numbered, but neither decoded nor sent
                 yield partition.path, i, [None if v is None else v.decode("utf-8", "replace") for v in values]
 
 
 class MysqlDump(DataSource):
-    """The data source; options ``path`` (a glob) and ``table``."""
+    """The data source; options ``path`` (a glob), ``table``, and ``field`` with ``wanted`` (a JSON list) to prune rows."""
 
     @classmethod
     def name(cls) -> str:
@@ -120,9 +126,16 @@ class MysqlDump(DataSource):
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, path: str, table: str) -> DataFrame:
+def scan(spark: SparkSession, path: str, table: str, field: int | None = None, wanted: list[str | None] | None = None) -> DataFrame:
+    """``file, ord, values`` of the tuples of a table; with ``field``, only those whose field is ``wanted``, pruned in the reader.
+
+    ``wanted`` travels with the tasks, so it is for lists of settings' size; longer ones are semi joins on the scan.
+    """
     spark.dataSource.register(MysqlDump)
-    return spark.read.format("mysqldump").option("table", table).load(path)
+    reader = spark.read.format("mysqldump").option("table", table)
+    if field is not None:
+        reader = reader.option("field", str(field)).option("wanted", json.dumps(wanted or []))
+    return reader.load(path)
 
 
 def _at(i: int, kind: str = "string") -> Column:

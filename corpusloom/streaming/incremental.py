@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,22 +14,30 @@ from corpusloom.operators.ordinal import latest_wins
 from corpusloom.sources import files
 
 
+class OutOfTime(Exception):
+    """Ends a run whose time is over before its next batch."""
+
+
 def done_ids(spark: SparkSession, path: str, key: str, schema: T.StructType) -> DataFrame:
     """Keys already written to a Parquet output; none if it does not exist yet."""
     return spark.read.schema(schema).parquet(path).select(key).distinct() if files.exists(path) else spark.createDataFrame([], T.StructType([T.StructField(key, schema[key].dataType)]))
 
 
-def run_stream(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: str, order: str, work=None, files_per_batch: int = 8) -> int:
+def run_stream(spark: SparkSession, source: str, schema: T.StructType, target: str, checkpoint: str, key: str, order: str, work=None, files_per_batch: int = 8, seconds: float | None = None, progress: list | None = None) -> int:
     """Processes the new files of a Parquet folder once and appends rows of unseen keys; returns the rows added.
 
     Within a batch the first row of a key by ``order`` counts; keys already in the target are left out by an anti
     join, so a batch that is repeated after a failure adds nothing twice. ``work`` maps the pending rows. Null keys are
-    left out.
+    left out. After ``seconds`` no further batch is begun; the next run goes on from there. ``progress`` takes a row a
+    batch: its number, rows added so far, seconds since the start, and rows a second.
     """
+    began = time.monotonic()
     added = 0
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         nonlocal added
+        if seconds is not None and time.monotonic() - began >= seconds:
+            raise OutOfTime  # the batch is not marked as done
         from corpusloom.operators.ordinal import first_wins
 
         fresh = pending(first_wins(batch, [key], [order]), done_ids(batch.sparkSession, target, key, schema), key)
@@ -34,12 +45,19 @@ def run_stream(spark: SparkSession, source: str, schema: T.StructType, target: s
         seen = Observation()  # counted in the pass that writes: ``work`` runs once
         out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target)
         added += seen.get["n"]
+        if progress is not None:
+            took = time.monotonic() - began
+            progress.append({"batch": number, "added": added, "seconds": round(took, 3), "rows_a_second": round(added / max(took, 1e-9), 3)})
 
     query = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if seconds is None or time.monotonic() - began < seconds or "OutOfTime" not in str(query.exception()):
+            raise
     return added
 
 

@@ -184,3 +184,20 @@ def test_metrics_by_label(spark):
     pairs = queries.alias("q").join(docs.alias("d"), "label").where("q.id <> d.id").select(F.col("q.id").alias("query_id"), F.col("d.id").alias("doc_id"))
     one, two = (sorted(map(tuple, df.collect())) for df in (retrieval.metrics_by_label(ranked, queries, docs), retrieval.ranking_metrics(ranked, pairs)))
     assert one == two and len(one) == 4
+
+
+def test_pruned_dump_scan(spark, tmp_path):
+    from corpusloom.sources import mysqldump
+
+    (tmp_path / "d.sql").write_text("INSERT INTO `page` VALUES (1,0,'A'),(2,0,'B'),(3,NULL,'C'),(4);\n")
+    scan = lambda *a: [(r.ord, r["values"][0]) for r in mysqldump.scan(spark, str(tmp_path / "*.sql"), "page", *a).collect()]
+    assert scan() == [(0, "1"), (1, "2"), (2, "3"), (3, "4")] and scan(2, ["B", "C", "x"]) == [(1, "2"), (2, "3")] and scan(1, [None]) == [(2, "3")] and scan(0, []) == []
+
+
+def test_time_budget_and_progress(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for i in range(3):
+        spark.createDataFrame([(str(i), i)], "id string, ord bigint").coalesce(1).write.mode("append").parquet(source)
+    schema, rows = spark.read.parquet(source).schema, []
+    run = lambda **k: incremental.run_stream(spark, source, schema, target, state, "id", "ord", files_per_batch=1, **k)
+    assert run(seconds=0) == 0 and run(progress=rows) == 3 and [r["added"] for r in rows] == [1, 2, 3] and run(seconds=60) == 0
