@@ -358,6 +358,16 @@ def body(source: str | None) -> list[tuple[str, bool]]:
 PAGE_UNITS = "id string, hash array<bigint>, keep array<boolean>, md5 array<binary>, bucket array<int>, inside array<bigint>, outside array<bigint>"
 
 
+def kept(units: list[tuple[str, bool]]) -> list[bytes | None]:
+    """The digests of the units in the body, each once; None for all others."""
+    out, seen = [], set()
+    for text, keep in units:
+        found = digest(text) if keep else None
+        out.append(None if found in seen else found)
+        seen.add(found)
+    return out
+
+
 def page_units(pages: DataFrame) -> DataFrame:
     """One row a page (id, html): masked hash, place and digest of its units; and one a task: in how many pages words stand inside and outside the body."""
 
@@ -373,7 +383,7 @@ def page_units(pages: DataFrame) -> DataFrame:
                     found = [x for d in done for x in set().union(*(word_buckets(t) for t, k in d if k == (side == 0)))]
                     seen[side] += np.bincount(np.array(found, np.int64), minlength=BUCKETS)
                 n = [None] * len(done)
-                columns = [part.column(0), [[hashed(t) for t, _ in d] for d in done], [[k for _, k in d] for d in done], [[digest(t) if k else None for t, k in d] for d in done], n, n, n]
+                columns = [part.column(0), [[hashed(t) for t, _ in d] for d in done], [[k for _, k in d] for d in done], [kept(d) for d in done], n, n, n]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
         used = np.flatnonzero(seen.sum(0))
         columns = [[None], [None], [None], [None], [used.tolist()], [seen[0][used].tolist()], [seen[1][used].tolist()]]
@@ -511,7 +521,11 @@ def found(pages: DataFrame, sections: DataFrame) -> DataFrame:
     units = checkpoint(page_units(distinct_rows(pages)))
     words, n = counted(lexicon(units))
     words = F.broadcast(words) if n * 16 <= BROADCAST_BYTES else words
-    kept = units.where("bucket IS NULL").select("id", F.explode(F.arrays_zip("hash", "keep", "md5")).alias("u")).where("u.keep").select(F.col("id").alias("row_key"), "u.hash", "u.md5")
-    main = kept.join(words, "hash", "left_anti").select(F.lit("page_main").alias("kind"), "row_key", "md5")
+    flat = units.where("bucket IS NULL").select("id", F.explode(F.arrays_zip("hash", "md5")).alias("u")).where("u.md5 IS NOT NULL").select(F.col("id").alias("row_key"), "u.hash", "u.md5")
+    main = flat.join(words, "hash", "left_anti").select(F.lit("page_main").alias("kind"), "row_key", "md5")
     rest = section_noise(sections, words, word_odds(units)).select(F.lit("section_noise").alias("kind"), "row_key", "md5")
-    return main.union(rest).distinct().select("kind", "row_key", F.lower(F.hex("md5")).alias("unit_md5"))
+    # only pages that share an id can give a unit twice
+    several, n = counted(units.where("bucket IS NULL").groupBy(F.col("id").alias("row_key")).count().where("count > 1").select("row_key"))
+    several = F.broadcast(several) if n * 100 <= BROADCAST_BYTES else several
+    rows = main.join(several, "row_key", "left_anti").union(main.join(several, "row_key", "left_semi").union(rest).distinct()) if n else main.union(rest.distinct())
+    return rows.select("kind", "row_key", F.lower(F.hex("md5")).alias("unit_md5"))
