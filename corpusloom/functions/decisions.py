@@ -15,6 +15,21 @@ def clamp_score(c: Column | str) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(3), F.coalesce(_c(c).try_cast("int"), F.lit(0))))
 
 
+def clamp_score_json(c: Column | str) -> Column:
+    """``clamp_score`` of a JSON value: numbers are cut to whole ones, true is 1, a text has to be a whole number."""
+    v = F.try_parse_json(_c(c))
+    kind = F.schema_of_variant(v)
+    number = F.when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("int")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
+    return F.greatest(F.lit(0), F.least(F.lit(3), F.coalesce(number.otherwise(F.try_variant_get(v, "$", "double").try_cast("int")), F.lit(0))))
+
+
+def question_text(c: Column | str) -> Column:
+    """The text of a question in JSON that is an object with ``text`` or a text itself; null for anything else."""
+    v = F.try_parse_json(_c(c))
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.try_variant_get(v, "$.text", "string"))
+
+
 def category_label(c: Column | str) -> Column:
     """keep, mixed or drop; ``borderline`` is mixed, anything else and null is drop."""
     low = F.lower(F.trim(_c(c)))

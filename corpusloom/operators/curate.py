@@ -140,3 +140,12 @@ def preferred_first(df: DataFrame, key: str, preferred: DataFrame) -> DataFrame:
     """``df`` with the rows whose key is in ``preferred`` (key) first, then by key."""
     known = preferred.select(key).distinct().withColumn("__preferred", F.lit(True))
     return df.join(known, key, "left").orderBy(F.col("__preferred").asc_nulls_last(), key).drop("__preferred")
+
+
+def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` for all of ``ids`` (key); an error that names some if any is missing."""
+    wanted = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    missing = [r[0] for r in wanted.join(df.select(key).distinct(), key, "left_anti").orderBy(key).limit(5).collect()]
+    if missing:
+        raise KeyError(f"no row for {key} {missing}")
+    return df.join(wanted, key, "left_semi")

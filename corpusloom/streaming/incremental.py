@@ -69,3 +69,14 @@ def through_cache(wanted: DataFrame, cache: DataFrame, key: str, fetch) -> tuple
     good = latest_wins(cache.where(F.col("status") == "ok"), [key], ["fetched_at"])
     keys = wanted.where(F.col(key).isNotNull()).select(key).distinct()
     return good.join(keys, key, "left_semi"), fetch(keys.join(good, key, "left_anti"))
+
+
+def mark_done(folder: str, shards: list[str]) -> None:
+    """Marks shards as finished, all of one stream at once; a marker is written whole."""
+    for name in shards:
+        files.write(f"{folder.rstrip('/')}/{name}.done", b"")
+
+
+def open_shards(folder: str, shards: list[str]) -> list[str]:
+    """The shards that are not marked as finished, in their order."""
+    return [x for x in shards if not files.exists(f"{folder.rstrip('/')}/{x}.done")]

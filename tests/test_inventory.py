@@ -201,3 +201,22 @@ def test_time_budget_and_progress(spark, tmp_path):
     schema, rows = spark.read.parquet(source).schema, []
     run = lambda **k: incremental.run_stream(spark, source, schema, target, state, "id", "ord", files_per_batch=1, **k)
     assert run(seconds=0) == 0 and run(progress=rows) == 3 and [r["added"] for r in rows] == [1, 2, 3] and run(seconds=60) == 0
+
+
+def test_scores_and_questions_of_any_json_type(spark):
+    scores = {"2": 2, "2.7": 2, '"2.7"': 0, '" 3 "': 3, "true": 1, "false": 0, "null": 0, "[1]": 0, "9": 3, "-1": 0, "x": 0}
+    questions = {'"why?"': "why?", '{"text": "why?", "n": 1}': "why?", '{"n": 1}': None, "3": None, "{": None}
+    rows = spark.createDataFrame([(x,) for x in [*scores, *questions, None]], "v string").select("v", decisions.clamp_score_json("v").alias("s"), decisions.question_text("v").alias("q")).collect()
+    assert {r.v: r.s for r in rows if r.v in scores} == scores and {r.v: r.q for r in rows if r.v in questions} == questions
+    assert [(r.s, r.q) for r in rows if r.v is None] == [(0, None)]
+
+
+def test_lookup_and_shard_marks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, n int")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert [r.n for r in curate.lookup(rows, ids("b", "b", None), "id").collect()] == [2]
+    with pytest.raises(KeyError, match="c"):
+        curate.lookup(rows, ids("a", "c"), "id")
+    assert incremental.open_shards(str(tmp_path), ["x", "y", "z"]) == ["x", "y", "z"]
+    incremental.mark_done(str(tmp_path), ["x", "z"])
+    assert incremental.open_shards(str(tmp_path), ["x", "y", "z"]) == ["y"]
