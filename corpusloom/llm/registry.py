@@ -105,4 +105,39 @@ SELECT DISTINCT _id AS corpus_id, kind FROM (
 WHERE _id IS NOT NULL
 """
 
-SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL}
+P2_PIECES_SQL = r"""
+WITH RECURSIVE lim AS (
+  SELECT lower(regexp_replace(section, '^\s+|\s+$', '', 'g')) AS name, min({'m': max_chars, 'o': overlap_chars}) AS own FROM split_limits WHERE section IS NOT NULL AND max_chars > 0 GROUP BY 1),
+rows_ AS (
+  SELECT DISTINCT c._id, c.section, c.text, coalesce(l.own, (SELECT own FROM lim WHERE name = '*')) AS own
+  FROM corpus c LEFT JOIN lim l ON l.name <> '*' AND l.name = lower(regexp_replace(c.section, '^\s+|\s+$', '', 'g'))),
+big AS (
+  SELECT sha256(coalesce(_id, chr(1)) || chr(0) || coalesce(section, chr(1)) || chr(0) || text) AS k, _id, section, text, length(text) AS n, own.m AS m, greatest(0, coalesce(own.o, 0)) AS o
+  FROM rows_ WHERE length(text) > own.m),
+chars AS (SELECT k, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM big),
+signs AS (SELECT k, i, c, regexp_full_match(c, '[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{85}\x{1c}-\x{1f}\x{0b}]') AS sp, c IN ('"', '”', '’', '''', ')', ']') AS shut, c IN ('.', '!', '?') AS stop FROM chars),
+places AS (
+  SELECT *, coalesce(lead(sp) OVER w, false) AS next_sp, max(CASE WHEN NOT shut THEN 2 * i + stop::INT END) OVER w % 2 = 1 AS ends, max(CASE WHEN NOT sp THEN i ELSE 0 END) OVER w AS run
+  FROM signs WINDOW w AS (PARTITION BY k ORDER BY i)),
+runs AS (
+  SELECT *, sum((c = chr(10))::INT) OVER v AS lines, max((c IN (chr(10), chr(13)))::INT) OVER v AS broken, ends AND next_sp AS full_stop FROM places WINDOW v AS (PARTITION BY k, run ORDER BY i)),
+kinds AS (
+  SELECT k, i AS p, greatest(
+    CASE WHEN sp AND NOT next_sp THEN CASE WHEN lines > 1 THEN 4 WHEN broken = 1 THEN 3 ELSE 1 END WHEN sp OR next_sp THEN 1 ELSE 0 END,
+    CASE WHEN c IN ('。', '！', '？') OR full_stop OR coalesce(lag(full_stop) OVER (PARTITION BY k ORDER BY i), false) THEN 2 ELSE 0 END) AS kind
+  FROM runs),
+ends_ AS (SELECT * FROM kinds WHERE kind > 0),
+cuts AS (
+  SELECT k, n, m, o, -1 AS no, 0 AS a, 0 AS b, false AS forced, 0 AS following FROM big
+  UNION ALL
+  SELECT k, n, m, o, no, a, b, forced, CASE WHEN b = n THEN n ELSE greatest(b - o, a + 1) END FROM (
+    SELECT c.k, c.n, c.m, c.o, c.no + 1 AS no, c.following AS a,
+      CASE WHEN c.n - c.following <= c.m THEN c.n ELSE coalesce(max({'near': e.p >= c.following + c.m * 0.5, 'kind': CASE WHEN e.p >= c.following + c.m * 0.5 THEN e.kind ELSE 0 END, 'p': e.p}).p, c.following + c.m) END AS b,
+      c.n - c.following > c.m AND max(e.p) IS NULL AS forced
+    FROM cuts c LEFT JOIN ends_ e ON e.k = c.k AND e.p > c.following + least(c.o, c.m - 1) AND e.p <= c.following + c.m
+    WHERE c.following < c.n GROUP BY c.k, c.n, c.m, c.o, c.no, c.following))
+SELECT b._id, c.k AS row_key, b.section, c.no::INT AS piece_no, c.a::BIGINT AS start, c.b::BIGINT AS "end", c.forced, substring(b.text, c.a + 1, c.b - c.a) AS piece
+FROM cuts c JOIN big b USING (k) WHERE c.no >= 0
+"""
+
+SQL: dict[str, str] = {"p2_found": P2_FOUND_SQL, "p2_pieces": P2_PIECES_SQL}
