@@ -115,6 +115,7 @@ class Model:
     def __init__(self, weights: np.ndarray, prior: np.ndarray, chains: list) -> None:
         self.weights, self.prior, self.chains, self.clean = weights, prior, chains, len(prior) - len(chains)
         self.memo: dict[str, list[tuple[int, float]]] = {}
+        self.tried: dict[str, list[tuple[int, float]]] = {}
 
     def ranked(self, text: str) -> list[tuple[int, float]]:
         """Chains that might have garbled a sentence, best first, with their log odds against the best clean class."""
@@ -129,6 +130,20 @@ class Model:
             self.memo[key] = found
         return found
 
+    def viable(self, text: str) -> list[tuple[int, float]]:
+        """The ranked chains with odds enough; those from UTF-8 only if what lies beyond ASCII is strictly decodable.
+
+        That depends on the characters beyond ASCII and their neighbours alone, so it is remembered by them.
+        """
+        key = DIGIT.sub("0", "\n".join(ODD.findall(text)))
+        found = self.tried.get(key)
+        if found is None:
+            found = [(i, odds) for i, odds in self.ranked(text) if (right(key, self.chains[i]) is not None if self.chains[i][-1][0] == "utf-8" else odds >= LEGACY_ODDS)]
+            if len(self.tried) >= MEMO_ENTRIES:
+                self.tried.clear()
+            self.tried[key] = found
+        return found
+
     def likely(self, text: str) -> float:
         """Log likelihood of a text as clean text of its best language."""
         if text.isascii():
@@ -147,10 +162,8 @@ class Model:
         if text.isascii():
             return []
         out = []
-        for i, odds in self.ranked(text):
+        for i, odds in self.viable(text):
             chain = self.chains[i]
-            if odds < (UTF8_ODDS if chain[-1][0] == "utf-8" else LEGACY_ODDS):
-                continue
             original = right(text, chain)
             if original is None or "\ufffd" in original:
                 continue
