@@ -132,16 +132,26 @@ def bytes_slice(html: Column | str, start: Column, end: Column) -> Column:
     return F.make_valid_utf8(F.substring(_c(html).cast("binary"), start + 1, end - start).cast("string"))
 
 
-def enclosing_section(html: Column | str, start: Column) -> Column:
-    """Name of the H2 section around a byte offset: ``summary`` before the first, null inside a left-out section."""
+def last_heading(html: Column | str, start: Column) -> Column:
+    """Markup of the last H2 heading before a byte offset; empty before the first."""
     before = F.make_valid_utf8(F.substring(_c(html).cast("binary"), F.lit(1), F.greatest(F.lit(0), start)).cast("string"))
     # fixed value: the pattern of a heading
     heads = F.regexp_extract_all(before, F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1))
-    last = heading_text(F.when(F.size(heads) > 0, F.element_at(heads, -1)).otherwise(F.lit("")))
+    return F.when(F.size(heads) > 0, F.element_at(heads, -1)).otherwise(F.lit(""))
+
+
+def section_name(heading: Column | str) -> Column:
+    """Name of the section below a ``last_heading``: ``summary`` before the first, null for a left-out section."""
+    last = heading_text(heading)
     low = F.lower(last)
     return F.when((low == "") | (low == "contents"), F.lit("summary")).when(~is_stop_section(low), last)
 
 
+def enclosing_section(html: Column | str, start: Column) -> Column:
+    """Name of the H2 section around a byte offset: ``summary`` before the first, null inside a left-out section."""
+    return section_name(last_heading(html, start))
+
+
 def answer_text(fragment: Column | str) -> Column:
     """Clean text of a long-answer fragment; null if it holds a table, is short, or breaks off before a formula."""
     c = _c(fragment)

@@ -249,8 +249,11 @@ def clean_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enclosing_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section around the middle of each page."""
-    rows = load(spark, sf_dir, "nq_source").where("id IS NOT NULL").select("id", F.col("document.html").alias("html")).where("html IS NOT NULL").distinct()
-    return rows.select("id", X.enclosing_section("html", F.floor(F.octet_length("html") / 2).cast("int")).alias("section"))
+    rows = load(spark, sf_dir, "nq_source").where("id IS NOT NULL").select("id", F.col("document.html").alias("html")).where("html IS NOT NULL")
+    middle = F.floor(F.octet_length("html") / 2).cast("int")
+    # pages stay in their scan: rows are told apart by digests, and only headings reach the Python workers
+    heads = rows.select("id", F.unhex(F.sha2("html", 256)).alias("page"), X.last_heading("html", middle).alias("heading")).distinct()
+    return heads.select("id", X.section_name("heading").alias("section"))
 
 
 def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
